@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("fired")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import removal
 
