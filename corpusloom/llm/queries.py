@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("fired")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import sampled_ids
+
+    return sampled_ids(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media
 
