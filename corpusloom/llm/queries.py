@@ -15,6 +15,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("fired")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge, labelled_urls, mine
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, mine(labelled_urls(pages, table(spark, sf_dir, "labels"))))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import sampled_ids
 
