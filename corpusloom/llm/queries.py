@@ -34,6 +34,13 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract, labelled_pages, train
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(labelled_pages(pages, table(spark, sf_dir, "documents"))))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import removal
 
