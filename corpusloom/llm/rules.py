@@ -123,7 +123,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     """The rows of ``docs`` that ``judge`` keeps, with their columns. Texts are counted twice and never shuffled."""
     cuts = cutoffs(written(_counts(docs), "counts"), labels, alpha, delta)
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), F.col("text").alias("_text"))
-    return _verdict(with_counts(rows), cuts).where("kept").select("_row.*")
+    # a filter must not move below the counts: each would be computed again wherever the verdict mentions it. It
+    # does not move below a column like _stay
+    counted = with_counts(rows).withColumn("_stay", F.monotonically_increasing_id())
+    return _verdict(counted, cuts).where("kept and _stay >= 0").select("_row.*")
 
 
 def oracle_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
