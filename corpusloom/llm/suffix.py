@@ -11,12 +11,16 @@ strings, which depends on its bytes only, so equal windows meet at equal anchors
 anchor are one piece, about one per 130 bytes. Equal pieces are counted first, with map-side
 pre-aggregation, so exact copies never meet in one task. Only anchors with several different pieces need suffix
 order: one representative of each such piece is sent to the anchor's bucket, where a suffix array is built
-by prefix doubling. A hot anchor is split into chunks; the runs of its chunks are then matched by window names.
+by prefix doubling. A hot anchor's pieces are first cut down to the windows that can be copies at all: all its pieces are
+sorted by the bytes on each side of the anchor (a range-partitioned sort, so no task holds the anchor), and a window
+needs as many bytes on each side as the piece shares with a neighbour in that order. What is left is split into
+chunks by its bytes, and the runs of the chunks are matched by window names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +79,7 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each segment of a text: anchor name, piece name, first window and number of windows of its pieces."""
+    """For each segment of a text: anchor name, piece name, first window, number of windows and place of the anchor of its pieces."""
     whole = np.frombuffer(data, np.uint8)
     for base in range(0, len(whole) - length + 1, SEGMENT):
         x = whole[base : base + SEGMENT + length - 1]
@@ -89,7 +93,7 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tupl
         p = anchor[first]
         # equal pieces have the same bytes and the anchor at the same place
         name = names.of(first, first + n - 1 + length) ^ ((p - first).astype(np.uint64) << np.uint64(16) | n.astype(np.uint64)) * MIX
-        yield names.of(p, p + gram), name, first + base, n
+        yield names.of(p, p + gram), name, first + base, n, p - first
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -158,6 +162,65 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
     return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
 
+BYTES_NAMES = ["anchor", "chunk", "_d", "_h", "at", "o", "bytes"]
+BYTES_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+BYTES_SCHEMA = "anchor long, chunk int, _d long, _h long, at long, o int, bytes binary"
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _cut_down(rows: DataFrame, length: int) -> DataFrame:
+    """Pieces of hot anchors without windows that cannot be copies; ``chunk`` is the number of chunks, then the chunk."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(at, 2000) for at in range(0, big.num_rows, 2000)):
+                o, data = b.column(5).to_pylist(), b.column(6).to_pylist()
+                for side, ctx in ((0, [x[:k][::-1] for x, k in zip(data, o)]), (1, [x[k:] for x, k in zip(data, o)])):
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([side] * b.num_rows, pa.int32()), pa.array(ctx, pa.binary()), *b.columns[2:5]], names=["anchor", "side", "ctx", "_d", "_h", "at"])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the first and the last row of a task do not see one neighbour; they keep all they have
+        before: tuple | None = None  # anchor, side, ctx, _d, _h, at, most so far
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if before is None:
+                    shared = len(row[2])
+                else:
+                    shared = common_prefix(before[2], row[2]) if before[:2] == row[:2] else 0
+                    out.append((*before[3:6], before[0], before[1], max(before[6], shared)))
+                before = (*row, shared)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["_d", "_h", "at", "anchor", "side", "most"])
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*before[3:6], before[0], before[1], len(before[2]))], names=["_d", "_h", "at", "anchor", "side", "most"])
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for anchor, chunks, d, h, at, o, data, left, right in zip(*(c.to_pylist() for c in b.columns)):
+                lo, hi = max(0, o - left), min(len(data) - length, o - length + right)
+                if lo <= hi:
+                    part = data[lo : hi + length]
+                    out.append((anchor, zlib.crc32(part) % chunks, d, h, at + lo, o - lo, part))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, BYTES_KINDS)], names=BYTES_NAMES)
+
+    ctx = rows.mapInArrow(sides, "anchor long, side int, ctx binary, _d long, _h long, at long")
+    most = ctx.repartitionByRange("anchor", "side", "ctx").sortWithinPartitions("anchor", "side", "ctx").mapInArrow(neighbours, "_d long, _h long, at long, anchor long, side long, most long")
+    limits = most.groupBy("_d", "_h", "at", "anchor").agg(F.max(F.when(F.col("side") == 0, F.col("most"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("most"))).alias("right"))
+    return rows.join(limits, ["_d", "_h", "at", "anchor"]).select(*BYTES_NAMES, "left", "right").mapInArrow(trim, BYTES_SCHEMA)
+
+
 def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(_d, _h, spans array<struct<lo, hi>>): the byte ranges to remove, for each document that has any.
 
@@ -175,12 +238,13 @@ def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: in
                 if not got:
                     continue
                 row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-                anchor, piece, at, n = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), piece.view(np.int64), d[row], h[row], at, n.astype(np.int32))], names=["anchor", "piece", "_d", "_h", "at", "n"])
+                anchor, piece, at, n, o = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4, 5))
+                cols = (anchor.view(np.int64), piece.view(np.int64), d[row], h[row], at, n.astype(np.int32), o.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "piece", "_d", "_h", "at", "n", "o"])
 
     keyed = _keyed(docs)
-    each = written(keyed.mapInArrow(cut, "anchor long, piece long, _d long, _h long, at long, n int"), "pieces")
-    kinds = written(each.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("_d", "_h", "at")).alias("rep"), F.first("n").alias("n")), "kinds")
+    each = written(keyed.mapInArrow(cut, "anchor long, piece long, _d long, _h long, at long, n int, o int"), "pieces")
+    kinds = written(each.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("_d", "_h", "at")).alias("rep"), F.first("n").alias("n"), F.first("o").alias("o")), "kinds")
 
     # 1. copies of whole pieces
     many = kinds.where("copies > 1").select("anchor", "piece", "rep")
@@ -190,11 +254,9 @@ def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: in
     spans = copies.select("_d", "_h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + last).alias("hi"))
 
     # 2. anchors with different pieces: their representatives meet in suffix order
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    meet = kinds.join(mixed, "anchor").select(
-        F.col("rep._d").alias("_d"), F.col("rep._h").alias("_h"),
-        F.struct("rep.at", "n", "anchor", F.when(F.col("kinds") > hot, F.pmod("piece", F.ceil(F.col("kinds") / hot))).otherwise(-1).cast("int").alias("chunk")).alias("p"),
-    )
+    mixed = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    blocks = F.when(F.col("kinds") > hot, F.ceil(F.col("kinds") / hot)).otherwise(-1).cast("int")
+    meet = kinds.join(mixed, "anchor").select(F.col("rep._d").alias("_d"), F.col("rep._h").alias("_h"), F.struct("rep.at", "n", "o", "anchor", blocks.alias("chunk")).alias("p"))
     wanted = written(meet.groupBy("_d", "_h").agg(F.collect_list("p").alias("ps")), "wanted")
 
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +264,17 @@ def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: in
             for b in (big.slice(at, 100) for at in range(0, big.num_rows, 100)):
                 out = []
                 for d, h, t, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()):
-                    out += [(p["anchor"], p["chunk"], d, h, p["at"], t[p["at"] : p["at"] + p["n"] + last]) for p in ps]
+                    out += [(p["anchor"], p["chunk"], d, h, p["at"], p["o"], t[p["at"] : p["at"] + p["n"] + last]) for p in ps]
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["anchor", "chunk", "_d", "_h", "at", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), BYTES_KINDS)], names=BYTES_NAMES)
 
     # repeated rows of a document are one here
     texts = keyed.join(wanted, ["_d", "_h"]).select("_d", "_h", "_t", "ps")
-    bytes_ = texts.mapInArrow(lift, "anchor long, chunk int, _d long, _h long, at long, bytes binary")
+    bytes_ = texts.mapInArrow(lift, BYTES_SCHEMA)
+    if not mixed.where(F.col("kinds") > hot).isEmpty():
+        bytes_ = written(bytes_, "bytes")
+        bytes_ = bytes_.where("chunk < 0").unionByName(_cut_down(bytes_.where("chunk >= 0"), length))
+    bytes_ = bytes_.drop("o")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
