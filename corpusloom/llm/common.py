@@ -1,84 +1,13 @@
-"""Shared helpers: written intermediate tables, exact-size checks before a broadcast, components."""
+"""Shared helpers of this subpackage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A table is broadcast only if it was counted and has at most this many (short) rows.
-BROADCAST_ROWS = 50_000
+from ..plans.shared import connected_components, small_or_plain, written
+
+__all__ = ["connected_components", "small_or_plain", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
-
-    Only where the cluster names none (tests on one machine) a folder of our own is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    The files survive the loss of any executor, so nothing upstream runs twice.
-    """
-    path = f"{shared_dir(df.sparkSession)}/corpusloom/{os.getpid()}-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it really has at most ``limit`` rows, else unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) for each node of ``edges(a, b)``; component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds on DataFrames, each round written to the shared
-    folder. A hub's minimum is pre-aggregated on the map side; the join back is an ordinary
-    equi-join, which adaptive execution splits when one hub is hot. Nulls and loops are dropped.
-    """
-    now = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "edges",
-    )
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
-        now = written(small, "edges")
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
-        before = sign
-    else:
-        raise RuntimeError("components did not settle")
-    # every edge now leads straight from a node to the smallest node of its component
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
