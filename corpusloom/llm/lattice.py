@@ -22,7 +22,7 @@ BLANK = "▁"
 class Vocabulary:
     """Pieces in a trie of reversed strings, so one walk finds all pieces that end at a place."""
 
-    def __init__(self, pieces: dict[str, tuple[float, int]], byte_ids: list[int], raw: dict[int, bytes]):
+    def __init__(self, pieces: dict[str, tuple[float, int]], byte_ids: list[int], raw: list[bytes]):
         self.byte_ids, self.raw = byte_ids, raw
         self.root: dict = {}
         for piece, entry in pieces.items():
@@ -59,7 +59,7 @@ def vocabulary(path: str) -> Vocabulary:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces, byte_ids, raw, rank = {}, [0] * 256, {}, 0
+    pieces, byte_ids, raw, rank = {}, [0] * 256, [b""] * sp.get_piece_size(), 0
     for i in range(sp.get_piece_size()):
         if sp.is_byte(i):
             byte_ids[int(sp.id_to_piece(i)[3:5], 16)] = i

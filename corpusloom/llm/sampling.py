@@ -67,19 +67,43 @@ class Trie:
                     todo.append((len(weight), child))
                     weight.append(hit[0] if hit else 0.0)
                     piece.append(hit[1][0] if hit else -1)
-        order = np.argsort(np.array(keys, np.uint64))
-        self.keys, self.targets = np.array(keys, np.uint64)[order], np.array(targets, np.int32)[order]
+        keys, targets = np.array(keys, np.uint64), np.array(targets, np.int32)
         self.weight, self.piece = np.array(weight), np.array(piece, np.int32)
         # first characters are looked up directly
         self.first = np.zeros(1 << 21, np.int32)
-        low = self.keys < U(1 << 21)
-        self.first[self.keys[low].astype(np.int64)] = self.targets[low]
+        low = keys < U(1 << 21)
+        self.first[keys[low].astype(np.int64)] = targets[low]
+        # the others in an open hash table, less than half full; 0 is no key there
+        keys, targets = keys[~low], targets[~low]
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys, self.targets = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last one stays
+            done = self.keys[slot[todo]] == keys[todo]
+            self.targets[slot[todo[done]]] = targets[todo[done]]
+            todo = todo[~done]
+            slot[todo] = (slot[todo] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next states; 0 where there is none."""
         key = state.astype(np.uint64) << U(21) | char.astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.targets[at], 0)
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.targets[slot], 0)
+        todo = np.flatnonzero((held != key) & (held != 0))
+        while len(todo):
+            at = (slot[todo] + 1) & (1 << self.bits) - 1
+            slot[todo], held = at, self.keys[at]
+            hit = held == key[todo]
+            out[todo[hit]] = self.targets[at[hit]]
+            todo = todo[~hit & (held != 0)]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -91,7 +115,7 @@ class Lattice:
     """Distinct words one after the other; the node of a place is the index of the character that ends there.
 
     Edges are sorted by node: ``ptr`` leads to a node's edges; an edge has its length, its id (or -1 - character for the
-    fallback to bytes), its probability given the node, and ``reach``, node + cumulated probability.
+    fallback to bytes), its probability given the node, and the cumulated one.
     """
 
     def __init__(self, words: list[str], t: Trie):
@@ -100,7 +124,7 @@ class Lattice:
         total = len(self.chars)
         self.last = np.cumsum(sizes) - 1
         depth = (np.arange(total) - np.repeat(self.last + 1 - sizes, sizes) + 1).astype(np.int32)
-        state, at = t.first[self.chars], np.arange(total)
+        state, at = t.first[self.chars], np.arange(total, dtype=np.int32)
         nodes, lengths, weights, ids = [], [], [], []
         size, single = 1, np.zeros(total, bool)
         while len(at):
@@ -117,7 +141,7 @@ class Lattice:
             if len(at):
                 state = t.step(state, self.chars[at - size])
             size += 1
-        at = np.flatnonzero(~single)  # no piece is this character alone: its bytes
+        at = np.flatnonzero(~single).astype(np.int32)  # no piece is this character alone: its bytes
         c = self.chars[at]
         nodes.append(at)
         lengths.append(np.ones(len(at), np.int32))
@@ -126,13 +150,15 @@ class Lattice:
         node, length, weight, self.id = (np.concatenate(x) for x in (nodes, lengths, weights, ids))
         order = np.argsort(node, kind="stable")
         self.node, self.length, weight, self.id = node[order], length[order], weight[order], self.id[order]
-        self.ptr = np.searchsorted(self.node, np.arange(total + 1))
+        self.ptr = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(self.node, minlength=total))])
         self.depth = depth
         alpha = np.zeros(total + 1)  # the last one is the start of every word
         parent = np.where(self.length == depth[self.node], total, self.node - self.length)
-        by_depth = np.argsort(depth[self.node], kind="stable")
+        edge_depth = depth[self.node]
+        small = edge_depth.astype(np.int16) if depth.max(initial=0) < 1 << 15 else edge_depth  # these are sorted by radix
+        by_depth = np.argsort(small, kind="stable")
         score = np.empty(len(by_depth))
-        edge_depth = depth[self.node[by_depth]]
+        edge_depth = edge_depth[by_depth]
         cuts = np.flatnonzero(np.r_[True, edge_depth[1:] != edge_depth[:-1]]).tolist() + [len(by_depth)] if total else []
         for a, b in zip(cuts, cuts[1:]):
             e = by_depth[a:b]
@@ -149,7 +175,7 @@ class Lattice:
         base = np.where(start > 0, cum[start - 1], 0.0) if total else cum
         cum = np.minimum(cum - base[self.node], 1.0)
         cum[self.ptr[1:] - 1] = 1.0
-        self.reach = self.node + cum
+        self.cum = cum
         self.branches = np.diff(self.ptr)[self.node] > 1 if total else np.zeros(0, bool)
 
     def descend(self, node: np.ndarray, occ: np.ndarray, key: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +184,11 @@ class Lattice:
         key = _hash(key ^ U(turn)) ^ occ.astype(np.uint64) << U(24)
         while len(node):
             u = _uniform(key[row], self.depth[node])
-            e = np.searchsorted(self.reach, node + u, side="right")
-            e = np.clip(e, self.ptr[node], self.ptr[node + 1] - 1)
+            e = self.ptr[node].copy()
+            on = np.flatnonzero(self.cum[e] < u)
+            while len(on):  # a node has few edges, and the last one reaches 1
+                e[on] += 1
+                on = on[self.cum[e[on]] < u[on]]
             edges.append(e)
             rows.append(row)
             more = self.depth[node] > self.length[e]
@@ -268,8 +297,7 @@ def ids_of(lat: Lattice, edges: np.ndarray, places: np.ndarray, byte_ids: np.nda
 
 
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
-    raw = vocab.raw
-    return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    return b"".join(map(vocab.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def segment(texts: list[str], keys: np.ndarray, k: int, path: str):
