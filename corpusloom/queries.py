@@ -384,6 +384,11 @@ def title_match(spark, d):
     return c.select("pos", lint.title_matches(F.reverse("title"), F.col("content")).alias("matches"))
 
 
+PUNCT = lint.TITLE_PUNCTUATION.replace("'", "''")
+O["title_match"] = f"""with c as ({DUCK_CARDS}), b as (select pos, content, trim(reverse(title)) as t, list_reduce(list_concat([reverse(title)], string_split('{PUNCT}', '')), lambda a, x: replace(a, x, '')) as n from c)
+select pos, contains(content, t) or len(list_filter(range(1, length(n)), lambda i: contains(content, substr(n, i, 2)))) > 0 as matches from b"""
+
+
 @query
 def lcs_similarity(spark, d):
     c = read(spark, d, "conversations")
@@ -416,6 +421,12 @@ def similarity_edges(spark, d):
     return dedup.similarity_edges(_talk(spark, d), 3, 0.65).select("a", "b", r4(F.col("sim")).alias("sim"))
 
 
+JAC = "len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+O["similarity_edges"] = f"""with {TALK}, r as (select min(pos) as pos, coalesce(title, '') as title, coalesce(content, '') as content from c group by 2, 3), s as (select pos, {SH.format('title', 3)} as ts, {SH.format('content', 3)} as cs from r),
+p as (select a.pos as a, b.pos as b, 0.3::double * {JAC.format('a.ts', 'b.ts')} + 0.7::double * {JAC.format('a.cs', 'b.cs')} as sim from s a join s b on a.pos < b.pos and len(a.cs) >= len(b.cs) * 0.5 and len(b.cs) >= len(a.cs) * 0.5)
+select a, b, round(sim, 4) as sim from p where sim >= 0.65"""
+
+
 @query
 def components(spark, d):
     c = _talk(spark, d)
