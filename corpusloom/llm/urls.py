@@ -2,7 +2,8 @@
 
 A URL's tokens are its scheme, registered suffixes and labels of its host, the words of its path, its file ending, and
 its query keys. Spark's FP-growth mines frequent token combinations together with the label; rules
-"combination -> block" are kept if support, confidence and lift are high enough and no more general rule is as
+"combination -> block" are kept if support, count, confidence and lift are high enough, if the confidence is surely
+at least the wanted one (a Chernoff bound, Bonferroni over all mined combinations) and no more general rule is as
 confident. Matching uses an inverted index: each mined rule is filed under its rarest token, each fixed rule
 under its host, so a URL meets only rules that share that token with it. Support bounds the number of rules; the index is
 broadcast after its size is checked.
@@ -10,6 +11,7 @@ broadcast after its size is checked.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 #: (verdict, rule); a rule is a host, a slash and the start of the path after it.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.5
+#: A rule has at least so many bad URLs; the risk that chance alone makes any rule below the wanted confidence.
+MIN_COUNT, RISK = 5, 0.05
 #: More rules than this are not broadcast: mine with a higher support.
 MOST_RULES = 100_000
 BLOCK = "=block"
@@ -71,7 +75,16 @@ def _tokens_column(df: DataFrame, url: str, *keep: str) -> DataFrame:
     return df.select(F.col(url).cast("string"), *keep).mapInArrow(run, rest.schema.add("items", T.ArrayType(T.StringType())))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[dict]:
+def surely(bad: int, n: int, least: float, risk: float) -> bool:
+    """Whether ``bad`` of ``n`` has at most probability ``risk`` (Chernoff) if the true share is ``least`` or lower."""
+    p = bad / n
+    if p <= least or least <= 0:
+        return least <= 0
+    rest = (1 - p) * math.log((1 - p) / (1 - least)) if p < 1 else 0.0
+    return n * (p * math.log(p / least) + rest) >= -math.log(risk)
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_count: int = MIN_COUNT, risk: float = RISK) -> list[dict]:
     """Rules {tokens, confidence, support, index} from all rows of ``labelled(url, bad boolean)``.
 
     Rows without a label or without tokens are left out; without any bad row there are no rules.
@@ -82,16 +95,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     n = baskets.count()
     if not n:
         return []
-    often = baskets.where(F.array_contains("items", BLOCK)).select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= min_support * n)
+    often = baskets.where(F.array_contains("items", BLOCK)).select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= max(min_support * n, min_count))
     kept = {r.t: r["count"] for r in often.collect()}  # at most (tokens a URL) / min_support
     if BLOCK not in kept:
         return []
     baskets = baskets.select(F.array_intersect("items", F.array(*[F.lit(t) for t in sorted(kept)])).alias("items")).where("size(items) > 0")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=max(8, baskets.sparkSession.sparkContext.defaultParallelism)).fit(baskets)
+    m = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, (min_count - 0.5) / m)), minConfidence=min_confidence, numPartitions=max(8, baskets.sparkSession.sparkContext.defaultParallelism)).fit(baskets)
     found = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.col("lift") >= min_lift)).select("antecedent", "confidence", "support")
     if found.count() > MOST_RULES:
         raise ValueError(f"over {MOST_RULES} rules; raise min_support")
-    rules = sorted(((frozenset(r.antecedent), r.confidence, r.support) for r in found.collect()), key=lambda r: (len(r[0]), -r[1], sorted(r[0])))
+    tests = max(1, model.freqItemsets.where(F.array_contains("items", BLOCK)).count())
+    sure = [r for r in found.collect() if surely(k := round(r.support * m), round(k / r.confidence), min_confidence, risk / tests)]
+    rules = sorted(((frozenset(r.antecedent), r.confidence, r.support) for r in sure), key=lambda r: (len(r[0]), -r[1], sorted(r[0])))
     out: list[dict] = []
     general: dict[str, list[tuple[frozenset, float]]] = {}
     for items, confidence, support in rules:

@@ -68,3 +68,13 @@ def test_document_number(spark):
     urls = ["http://a.com/en/12?page=3", "https://b.net/45.html", "http://c.org/x", None, "http://d.org/en/7/"]
     got = spark.createDataFrame([(u,) for u in urls], "url string").select(U.document_number(U.F.col("url"))).collect()
     assert [r[0] for r in got] == [12, 45, None, None, 7]
+
+
+def test_chance_makes_no_rules(spark):
+    rnd = random.Random(4)
+    data = [(f"http://{rnd.choice('abcdefgh')}{rnd.choice('klmnop')}.example.org/{rnd.choice(['en', 'de', 'fr'])}/{i}", rnd.random() < 0.25) for i in range(900)]
+    assert U.mine(spark.createDataFrame(data, "url string, bad boolean")) == []
+    sure = [(f"http://pills.example.org/en/{i}", True) for i in range(40)]
+    found = U.mine(spark.createDataFrame(data + sure, "url string, bad boolean"))
+    assert found and all("pills" in " ".join(r["tokens"]) for r in found)
+    assert not U.surely(2, 2, 0.5, 0.05) and not U.surely(1, 2, 0.5, 0.05) and U.surely(40, 40, 0.5, 1e-6)
