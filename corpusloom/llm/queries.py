@@ -25,7 +25,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import sampled_ids
 
-    return sampled_ids(table(spark, sf_dir, "documents"), with_ids=False)
+    return sampled_ids(table(spark, sf_dir, "documents"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

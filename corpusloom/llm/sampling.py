@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .lattice import BYTE, PRE_TOKEN, Vocabulary, default_path, vocabulary
 
-K, SEED = 2, 20240501
-#: Bytes of text that are worked on at a time (one longer text is worked on alone).
+K, SEED = 3, 20240501
+#: Characters of text that are worked on at a time (one longer text is worked on alone).
 CHUNK = 1_500_000
+#: Parts of a node whose mass is e^-FAR of the node's are below the resolution of the random numbers (2^-52).
+FAR, STEP = 60.0, 256
 U = np.uint64
 
 
@@ -169,7 +172,8 @@ class Lattice:
             width = np.diff(np.r_[first, len(e)])
             alpha[n[first]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, width)), first))
             score[e] = s
-        self.p = np.exp(score - alpha[self.node])
+        self.log_p = score - alpha[self.node]
+        self.p = np.exp(self.log_p)
         cum = np.cumsum(self.p)
         start = self.ptr[:-1]
         base = np.where(start > 0, cum[start - 1], 0.0) if total else cum
@@ -205,6 +209,17 @@ def utf8_size(c: np.ndarray) -> np.ndarray:
     return np.where(lone, 1, 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000))
 
 
+def _near(lat: Lattice, path: np.ndarray) -> np.ndarray:
+    """Log probabilities of a path's first decisions, up to where the path has less than e^-FAR of its node's mass."""
+    n = STEP
+    while True:
+        got = lat.log_p[path[:n]]
+        total = np.cumsum(got)
+        if n >= len(path) or total[-1] < -FAR:
+            return got[: np.searchsorted(-total, FAR) + 1]
+        n *= 2
+
+
 def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
     """For each text (the numbers of its words): up to ``k`` distinct segmentations in order, and the threshold.
 
@@ -216,7 +231,7 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
     queues: list[list[tuple[float, int, int, int, frozenset[int]]]] = [
         [(float(np.log(-np.log(u))), 0, -1, 0, frozenset())] for u in _uniform(seeds, U(1 << 40)).tolist()
     ]
-    made = 1
+    made, none = 1, np.zeros(0, np.int64)
     for turn in range(k):
         live, fixed, nodes, occs = [], [], [], []
         for d, queue in enumerate(queues):
@@ -224,7 +239,7 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
                 continue
             value, _, base, at, gone = heapq.heappop(queue)
             if base < 0:
-                head = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                head = (none, none)
                 node, occ = lat.last[words[d]], np.arange(len(words[d]))
             else:
                 edges, places, _, _ = out[d][base]
@@ -237,10 +252,10 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
                     if u <= 0:
                         e = x
                         break
-                head = (np.r_[edges[:at], e], places[: at + 1])
+                head = (np.append(edges[:at], e), places[: at + 1])
                 node, occ = lat.last[words[d][w + 1 :]], np.arange(w + 1, len(words[d]))
                 if lat.length[e] < lat.depth[n]:
-                    node, occ = np.r_[n - lat.length[e], node], np.r_[w, occ]
+                    node, occ = np.concatenate([[n - lat.length[e]], node]), np.concatenate([[w], occ])
             live.append(d)
             fixed.append((head, -value, at, gone if base >= 0 else None))
             nodes.append(node)
@@ -250,50 +265,72 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
         sizes = [len(x) for x in nodes]
         occ = np.concatenate(occs)
         edges, rows = lat.descend(np.concatenate(nodes), occ, np.repeat(seeds[live], sizes), turn)
-        ends = np.searchsorted(rows, np.cumsum(sizes))
-        for d, (head, value, at, gone), a, b in zip(live, fixed, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-            path, place = np.concatenate([head[0], edges[a:b]]), np.concatenate([head[1], occ[rows[a:b]]])
-            p = lat.p[path]
-            before = np.concatenate([[0.0], np.cumsum(np.log(p))])
-            out[d].append((path, place, float(before[-1]), value))
+        ends = np.searchsorted(rows, np.cumsum(sizes)).tolist()
+        places = occ[rows]
+        need = k - turn  # of a node's parts no more can be taken, and one can be the threshold
+        luck = _uniform(seeds[live][:, None], U(turn), np.arange(2 * need), U(1 << 42)).tolist()
+        for d, (head, value, at, gone), a, b, u in zip(live, fixed, [0, *ends[:-1]], ends, luck):
+            path, place = edges[a:b], places[a:b]
+            if len(head[0]):
+                path, place = np.concatenate([head[0], path]), np.concatenate([head[1], place])
+            out[d].append((path, place, float(lat.log_p[path].sum()), value))
             # the rest of the node, by the first decision that differs
-            mine = path[at:]
-            other, rest = lat.branches[mine].copy(), 1 - p[at:]
+            log_p = _near(lat, path[at:])
+            if not len(log_p):
+                continue
+            mine = path[at : at + len(log_p)]
+            rest = np.where(lat.branches[mine], 1 - lat.p[mine], 0.0)
             if gone is not None:  # at the node's own decision more is excluded
                 n = lat.node[mine[0]]
-                left = [e for e in range(lat.ptr[n], lat.ptr[n + 1]) if e not in gone and e != mine[0]]
-                rest[0], other[0] = sum(lat.p[left]), bool(left)
-            j = np.flatnonzero(other & (rest > 0))
-            mass = before[at:-1][j] + np.log(rest[j])
-            u = _uniform(np.broadcast_to(seeds[d], len(j)), U(turn), j, U(1 << 42))
-            values = mass - np.log(np.exp(np.clip(mass - value, -700, 700)) - np.log(u))  # Gumbel(mass), truncated
-            need = k - turn  # of these parts no more can be taken, and one can be the threshold
-            best = np.argpartition(-values, need - 1)[:need] if len(j) > need else np.arange(len(j))
-            for x in best.tolist():
-                spot = int(j[x])
+                rest[0] = sum(lat.p[e] for e in range(lat.ptr[n], lat.ptr[n + 1]) if e not in gone and e != mine[0])
+            mass = np.exp(np.cumsum(log_p) - log_p) * np.maximum(rest, 0.0)  # of the parts, in units of what is fixed
+            unit = float(lat.log_p[path[:at]].sum())
+            # the largest values of the parts, one after the other: a Gumbel variable of their joint mass, truncated
+            for r in range(need):
+                joint = float(mass.sum())
+                if joint <= 0:
+                    break
+                m = unit + np.log(joint)
+                value = float(m - np.log(np.exp(min(max(m - value, -700.0), 700.0)) - np.log(u[2 * r])))
+                sums = np.cumsum(mass)
+                spot = min(int(np.searchsorted(sums, u[2 * r + 1] * sums[-1], "right")), int(np.flatnonzero(mass)[-1]))
+                mass[spot] = 0.0
                 bar = (gone if spot == 0 and gone is not None else frozenset()) | {int(mine[spot])}
-                heapq.heappush(queues[d], (-float(values[x]), made, len(out[d]) - 1, at + spot, bar))
+                heapq.heappush(queues[d], (-value, made, len(out[d]) - 1, at + spot, bar))
                 made += 1
     return [(got, -q[0][0] if q else float("-inf")) for got, q in zip(out, queues)]
 
 
-def ids_of(lat: Lattice, edges: np.ndarray, places: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
-    """The ids of a segmentation in text order (its decisions go from right to left within a word)."""
-    if not len(edges):
-        return np.zeros(0, np.int64)
-    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    size = np.diff(np.r_[first, len(places)])
-    start, n = np.repeat(first, size), np.repeat(size, size)
-    ids = lat.id[edges[start + (n - 1 - (np.arange(len(places)) - start))]].astype(np.int64)
+def ids_of_all(lat: Lattice, paths: list[tuple[np.ndarray, np.ndarray]], byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of segmentations (edges, places) in text order, one after the other, and the offsets where each begins and ends.
+
+    A segmentation's decisions go from right to left within a word.
+    """
+    sizes = np.array([len(e) for e, _ in paths], np.int64)
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    if not bounds[-1]:
+        return np.zeros(0, np.int32), bounds
+    edges, places = (np.concatenate([p[k] for p in paths]) for k in (0, 1))
+    new = np.ones(len(edges), bool)
+    new[1:] = places[1:] != places[:-1]
+    new[bounds[:-1][sizes > 0]] = True
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(edges)))
+    ids = lat.id[edges[np.repeat(2 * first + size - 1, size) - np.arange(len(edges))]]
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
-        return ids
+        return ids, bounds
     raw = [chr(int(-1 - c)).encode("utf-8", "replace") for c in ids[odd]]
     reps = np.ones(len(ids), np.int64)
     reps[odd] = [len(x) for x in raw]
     out = np.repeat(ids, reps)
     out[out < 0] = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-    return out
+    return out, np.concatenate([np.zeros(1, np.int64), np.cumsum(reps)])[bounds]
+
+
+def ids_of(lat: Lattice, edges: np.ndarray, places: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
+    """The ids of one segmentation in text order."""
+    return ids_of_all(lat, [(edges, places)], byte_ids)[0]
 
 
 def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
@@ -302,8 +339,9 @@ def decode(ids: Iterable[int], vocab: Vocabulary) -> str:
 
 def segment(texts: list[str], keys: np.ndarray, k: int, path: str):
     """The lattice of some texts, and for each of them its samples and threshold."""
-    found: dict[str, int] = {}
-    words = [np.array([found.setdefault(w, len(found)) for w in PRE_TOKEN.findall(t)], np.int64) for t in texts]
+    found: defaultdict[str, int] = defaultdict()
+    found.default_factory = found.__len__
+    words = [np.fromiter(map(found.__getitem__, w), np.int64, len(w)) for w in map(PRE_TOKEN.findall, texts)]
     lat = Lattice(list(found), trie(path))
     return lat, sample(lat, words, keys, k)
 
@@ -326,24 +364,31 @@ def sampled_ids(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str |
     """
     path = model_path or default_path()
     names = ["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "round_trip"] + ["ids"] * with_ids
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        byte_ids = np.array(vocab.byte_ids)
+        byte_ids, raw = np.array(vocab.byte_ids, np.int32), np.array(vocab.raw, object)
         for b in (x for big in batches for x in _chunks(big)):
             ids_, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             keys = np.array([(-1 if i is None else i) & (1 << 64) - 1 for i in ids_], np.uint64) ^ U(seed)
             lat, got = segment(texts, keys, k, path)
-            out = []
+            ids, at = ids_of_all(lat, [x[:2] for samples, _ in got for x in samples], byte_ids)
+            lo = iter(at.tolist())
+            start, out = next(lo), []
             for i, t, (samples, least) in zip(ids_, texts, got):
-                for n, (edges, places, lp, value) in enumerate(samples):
-                    ids = ids_of(lat, edges, places, byte_ids)
+                t = t.encode("utf-8", "replace")
+                for n, (_, _, lp, value) in enumerate(samples):
+                    end = next(lo)
+                    mine = ids[start:end]
                     x = lp - least  # log(1 - exp(-exp(x))) is x up to rounding where x is far below 0
                     inclusion = x if x < -30 else 0.0 if x > 5 else float(np.log(-np.expm1(-np.exp(x))))
-                    row = (i, n, len(ids), lp, value, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), decode(ids.tolist(), vocab) == t)
-                    out.append((*row, ids) if with_ids else row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+                    out.append((i, n, end - start, lp, value, inclusion, zlib.crc32(mine.astype("<u4").tobytes()), b"".join(raw[mine].tolist()) == t))
+                    start = end
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out) if out else [[]] * len(kinds), kinds)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
