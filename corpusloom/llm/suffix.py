@@ -79,7 +79,10 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each segment of a text: anchor name, piece name, first window, number of windows and place of the anchor of its pieces."""
+    """For each segment of a text: anchor name, piece name, first window, number of windows, place of the anchor and repeats of its pieces.
+
+    Equal pieces in a row, as in periodic text, are one with its number of repeats, so such a text has few rows.
+    """
     whole = np.frombuffer(data, np.uint8)
     for base in range(0, len(whole) - length + 1, SEGMENT):
         x = whole[base : base + SEGMENT + length - 1]
@@ -93,7 +96,8 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tupl
         p = anchor[first]
         # equal pieces have the same bytes and the anchor at the same place
         name = names.of(first, first + n - 1 + length) ^ ((p - first).astype(np.uint64) << np.uint64(16) | n.astype(np.uint64)) * MIX
-        yield names.of(p, p + gram), name, first + base, n, p - first
+        new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (n[1:] != n[:-1])])
+        yield names.of(p, p + gram)[new], name[new], first[new] + base, n[new], (p - first)[new], np.diff(np.r_[new, len(name)])
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -238,20 +242,21 @@ def repeated(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: in
                 if not got:
                     continue
                 row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-                anchor, piece, at, n, o = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4, 5))
-                cols = (anchor.view(np.int64), piece.view(np.int64), d[row], h[row], at, n.astype(np.int32), o.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "piece", "_d", "_h", "at", "n", "o"])
+                anchor, piece, at, n, o, times = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4, 5, 6))
+                cols = (anchor.view(np.int64), piece.view(np.int64), d[row], h[row], at, n.astype(np.int32), o.astype(np.int32), times.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "piece", "_d", "_h", "at", "n", "o", "times"])
 
     keyed = _keyed(docs)
-    each = written(keyed.mapInArrow(cut, "anchor long, piece long, _d long, _h long, at long, n int, o int"), "pieces")
-    kinds = written(each.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("_d", "_h", "at")).alias("rep"), F.first("n").alias("n"), F.first("o").alias("o")), "kinds")
+    each = written(keyed.mapInArrow(cut, "anchor long, piece long, _d long, _h long, at long, n int, o int, times int"), "pieces")
+    kinds = written(each.groupBy("anchor", "piece").agg(F.sum("times").alias("copies"), F.min(F.struct("_d", "_h", "at")).alias("rep"), F.first("n").alias("n"), F.first("o").alias("o")), "kinds")
 
     # 1. copies of whole pieces
     many = kinds.where("copies > 1").select("anchor", "piece", "rep")
     copies = each.join(many, ["anchor", "piece"])
-    if keep == "first":
-        copies = copies.where(F.struct("_d", "_h", "at") != F.col("rep"))
-    spans = copies.select("_d", "_h", F.col("at").alias("lo"), (F.col("at") + F.col("n") + last).alias("hi"))
+    lo, end = F.col("at"), F.col("at") + F.col("n") * F.col("times")
+    if keep == "first":  # of a run of equal pieces that begins with the first one, only the others go
+        lo = F.when(F.struct("_d", "_h", "at") == F.col("rep"), F.col("at") + F.col("n")).otherwise(F.col("at"))
+    spans = copies.select("_d", "_h", lo.alias("lo"), end.alias("end")).where("lo < end").select("_d", "_h", "lo", (F.col("end") + last).alias("hi"))
 
     # 2. anchors with different pieces: their representatives meet in suffix order
     mixed = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
@@ -334,38 +339,60 @@ def remaining(data: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def removal(docs: DataFrame, keep: str = "none", length: int = LENGTH, **tuning) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs(doc_id, text)``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, spans for each row of ``docs(doc_id, text)``.
 
-    A null text counts as empty; texts under ``length`` bytes keep all. Repeated rows are copies of each other; rows with
-    a null doc_id are told apart by their text. Other columns are ignored.
+    ``text`` is what remains (bytes of a character that is cut in two are left out there), ``spans`` the removed byte ranges.
+    A null text counts as empty; texts under ``length`` bytes keep all. Repeated rows are one row here, with the
+    same result each; rows with a null doc_id are told apart by their text. Other columns are ignored.
     """
     rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).join(repeated(docs, keep, length, **tuning), ["_d", "_h"], "left").select("doc_id", "_t", "spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 gone = merge(s)
-                out.append((i, len(t), sum(y - x for x, y in gone), len(gone), hashlib.sha256(remaining(t, gone)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                left = remaining(t, gone) if gone else t
+                out.append((i, len(t), sum(y - x for x, y in gone), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"), [{"lo": x, "hi": y} for x, y in gone]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<struct<lo:long,hi:long>>")
 
 
-def without_copies(docs: DataFrame, keep: str = "first", length: int = LENGTH, **tuning) -> DataFrame:
+def without_copies(docs: DataFrame, keep: str = "first", length: int = LENGTH, min_words: int = 0, **tuning) -> DataFrame:
     """``docs`` with the copies cut out of ``text`` (and n_chars, if there, brought up to date); columns and rows stay.
 
-    Bytes of a character that is cut in two are dropped with it. A null text stays null.
+    A copied stretch goes if it has at least ``length`` bytes and ``min_words`` words. Bytes of a character that is cut in two are
+    dropped with it. A null text stays null. Rows count by themselves: of repeated rows (one doc_id, one text) the
+    first in the table's order counts as the earliest with ``keep="first"``, and the others lose all that is long enough.
     """
-    rows = _keyed(docs, F.struct("*").alias("_row")).join(repeated(docs, keep, length, **tuning), ["_d", "_h"], "left").select("_row", "_t", "spans")
+    again = None
+    if keep == "first":
+        keys = _keyed(docs).groupBy("_d", "_h").agg(F.count("*").alias("n")).where("n > 1").select("_d", "_h")
+        if not keys.isEmpty():
+            docs = written(docs.withColumn("_r", F.monotonically_increasing_id()), "rows")
+            again = _keyed(docs, "_r").groupBy("_d", "_h").agg(F.count("*").alias("n"), F.min("_r").alias("_first")).where("n > 1").drop("n")
+    columns = [c for c in docs.columns if again is None or c != "_r"]
+    rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("_r") if again is not None else F.lit(0).alias("_r"))
+    rows = rows.join(repeated(docs, keep, length, **tuning), ["_d", "_h"], "left")
+    repeat = F.lit(False)
+    if again is not None:
+        rows = rows.join(again, ["_d", "_h"], "left")
+        repeat = F.coalesce(F.col("_r") != F.col("_first"), F.lit(False))
+    rows = rows.select("_row", "_t", "spans", repeat.alias("_again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left = [None if not s else remaining(t, merge(s)).decode("utf-8", "ignore") for t, s in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
+            left = []
+            for t, s, whole in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                gone = [(0, len(t))] if whole and len(t) >= length else merge(s)
+                gone = [(x, y) for x, y in gone if not min_words or len(t[x:y].split()) >= min_words]
+                left.append(remaining(t, gone).decode("utf-8", "ignore") if gone else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string())], names=["_row", "_left"])
 
     got = rows.mapInArrow(run, rows.select("_row").schema.add("_left", "string"))
     cut = F.col("_left").isNotNull()
-    new = {"text": F.when(cut, F.col("_left")).otherwise(F.col("_row.text")), "n_chars": F.when(cut, F.length("_left").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
-    return got.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
+    new = {"text": F.when(cut, F.col("_left")).otherwise(F.col("_row.text")), "n_chars": F.when(cut, F.length("_left").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
+    return got.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in columns])

@@ -77,3 +77,38 @@ def test_edge_rows(spark):
     by = {r.doc_id: r for r in kept.collect() if r.doc_id not in (5, None)}
     assert by[1].text is None and by[2].text == "" and len(by[4].text) <= 12 and by[4].n_chars == len(by[4].text)
     assert S.removal(df.limit(0)).count() == 0 and S.without_copies(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_keep_one(spark):
+    """Of repeated rows the first stays whole with keep="first"; the others lose all their bytes if they are long enough."""
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b = text(90), text(12)
+    rows = [(1, a)] * 3 + [(1, b)] * 2 + [(None, a), (2, None), (2, None), (3, text(80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = sorted((r.doc_id, r.text) for r in S.without_copies(df, length=L, gram=G).collect() if r.doc_id is not None)
+    rest = sorted([(1, ""), (1, ""), (1, b), (1, b), (3, rows[-1][1])] + [(2, None)] * 2, key=str)
+    # the null id is the smallest, so its row is the first one of the text
+    assert sorted(got, key=str) == sorted(rest + [(1, "")], key=str)
+    df = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
+    got = sorted(map(tuple, S.without_copies(df, length=L, gram=G).collect()), key=str)
+    assert got == sorted(rest + [(1, a)], key=str)
+
+
+def test_periodic_texts_have_few_pieces(spark):
+    for t in (b"a" * 100_000, b"xyz " * 25_000):
+        assert sum(len(p[0]) for p in S.pieces(t)) <= 3
+    rows = [(0, "a" * 500), (1, "a" * 90), (2, "abc" * 50), (3, "abc" * 200 + "q"), (4, "zabc" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in ("none", "first"):
+        gone = brute([(i, t.encode()) for i, t in rows], keep, L)
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.text) for r in S.removal(df, keep, L, gram=G).collect()}
+        assert got == {i: (len(gone[i]), spans(gone[i]), "".join(c for p, c in enumerate(t) if p not in gone[i])) for i, t in rows}
+
+
+def test_passages_of_too_few_words_stay(spark):
+    long, short = "one two three four five six seven", "abcdefghijklmnopqrstuvwxyzabcdefgh"
+    rows = [(1, f"{long} | {short} ."), (2, f"# {short} / {long} !")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.without_copies(df, length=L, gram=G, min_words=5).collect()}
+    assert got[1] == rows[0][1] and got[2].startswith(f"# {short}") and "three" not in got[2]
