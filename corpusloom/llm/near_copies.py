@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands for candidates, whole shingle sets for the verdict.
+"""Near copies by the Jaccard similarity of word shingles: candidates by fingerprint or MinHash band, whole shingle sets for the verdict.
 
 Texts with the same words are one node. A node is filed under BANDS keys, each made of ROWS minima of its shingle
 hashes; a pair of similarity s shares no key with probability (1 - s^ROWS)^BANDS, 3.2e-6 at 0.8 and less above.
@@ -11,7 +11,7 @@ makes edges in proportion to its size, and no pair that could join two component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -55,6 +55,14 @@ def shingle_set(of: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a shingle set: a bit is 1 if it is set in over half the hashes; 0 for no words."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        counts += np.unpackbits(found[at : at + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     if not len(found):
         return found
@@ -72,11 +80,15 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             each = [words(x) for x in b.column(3).cast(pa.binary()).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in each], dtype=np.uint64).view(np.int64)
-            keys = [band_keys(shingle_set(w, shingle)).view(np.int64) for w in each]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "_d", "_h", "node", "keys"])
+            keys, fps = [], []
+            for w in each:
+                found = shingle_set(w, shingle)
+                keys.append(band_keys(found).view(np.int64))
+                fps.append(set_fingerprint(found))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "_d", "_h", "node", "fp", "keys"])
 
     text = F.col("text").cast("string")
-    return rows.select("_row", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, "_row long, _d long, _h long, node long, keys array<long>")
+    return rows.select("_row", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, "_row long, _d long, _h long, node long, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -88,8 +100,8 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
 
 
-def _components(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """(node, component) of the nodes that are linked under the keys of ``shared(key, node)``."""
+def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed: DataFrame | None = None) -> DataFrame | None:
+    """(node, component) of the nodes that are linked under the keys of ``shared(key, node)`` or as ``proposed(a, b)``."""
 
     def linked(pairs: DataFrame, k: int) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -97,6 +109,9 @@ def _components(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         return written(pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), f"links{k}")
 
     edges, comp = [], None
+    if proposed is not None:
+        edges = [linked(proposed, PIVOTS + 1)]
+        comp = written(connected_components(edges[0]), "components")
     for k in range(PIVOTS + 1):
         if comp is None:
             now = shared.withColumn("c", F.col("node"))
@@ -120,21 +135,27 @@ def _components(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return comp
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of each group of rows that are linked by similarities of at least ``similarity``.
 
+    ``propose`` may give pairs (a, b) of ``nodes(node, fp)`` that are compared first; the bands find what is left.
+
     The row with the smallest doc_id stays (null is the largest; of one doc_id the one with the smallest hash of
     its text). Rows count by themselves, so repeated rows and repeated or null ids are told apart. Words are
     split at ASCII space and compared without ASCII case; texts without words, or null, are copies of each other.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     each = written(_sketches(rows, shingle), "sketches")
-    nodes = each.groupBy("node").agg(F.min(F.struct("_row", "keys")).alias("rep")).select("node", "rep.*")
+    nodes = each.groupBy("node").agg(F.min(F.struct("_row", "fp", "keys")).alias("rep")).select("node", "rep.*")
     filed = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "node"), "shared")
-    wanted = written(nodes.select("node", "_row").join(shared.select("node").distinct(), "node"), "wanted")
+    asked, proposed = shared.select("node"), None
+    if propose is not None:
+        proposed = written(propose(nodes.select("node", "fp")), "proposed")
+        asked = asked.unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = written(nodes.select("node", "_row").join(asked.distinct(), "node"), "wanted")
     sets = written(_sets(rows.join(small_or_plain(wanted), "_row"), shingle), "sets")
-    comp = _components(shared, sets, similarity)
+    comp = _components(shared, sets, similarity, proposed)
     rank = F.struct(F.col("_d").isNull().alias("none"), "_d", "_h", "_row")
     each = each.select("_row", "node", rank.alias("rank"))
     if comp is None:

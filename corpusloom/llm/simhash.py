@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import connected_components, small_or_plain, written
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -140,7 +141,7 @@ def _edges(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, m
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_ANCHOR) -> DataFrame:
     """Edges (a, b) between representatives of ``distinct(fp, rep)`` that connect all fingerprints within ``max_bits``.
 
-    Exact for ``max_bits`` up to 3. Rows with a null representative are left out.
+    Exact for ``max_bits`` up to 3.
     """
     if max_bits > 3:
         raise ValueError("two halves with covering radius 1 reach three differing bits")
@@ -175,7 +176,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_ANCHOR)
             x, y = _edges(*kept, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    distinct = distinct.where("rep is not null").select("fp", "rep")
+    distinct = distinct.select("fp", "rep")
     rows = distinct.mapInArrow(spread, "anchor long, fp long, rep long, home boolean")
     busy = written(
         distinct.mapInArrow(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.ceil(F.col("count") / hot).cast("int").alias("blocks")),
@@ -197,22 +198,32 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_ANCHOR)
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs(doc_id, text)``; other columns are ignored.
 
-    A null or empty text, or one without words, has fingerprint zero and is linked like any other. Repeated
-    rows stay. A row with a null doc_id keeps its row; it gets the component of its fingerprint's other rows,
-    else null. An empty table gives an empty result.
+    A null or empty text, or one without words, has fingerprint zero and is linked like any other. Repeated rows stay. A
+    row with a null doc_id keeps its row and links like any other; it gets the smallest doc_id that is
+    reachable, null if there is none. An empty table gives an empty result.
     """
     each = written(fingerprints(docs), "fingerprints")
-    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    comp = connected_components(links(distinct))
-    label = distinct.join(comp, distinct.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # components run on fingerprints, so that rows with a null id take part
+    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    comp = connected_components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    label = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    least = label.groupBy("c").agg(F.min("low").alias("component_id"))
+    label = label.join(least, "c").select("fp", "component_id")
     return each.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which no smaller doc_id is in the same component; one of each group stays.
+def keep_one(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """One row of each group of near copies: word shingles with a Jaccard similarity of at least ``similarity``.
 
-    Rows with a null doc_id cannot be told apart and stay.
+    Anchor-point covering proposes the pairs whose fingerprints (of the shingle sets) differ in at most three bits, and
+    whole shingle sets decide. At a similarity of 0.8 fingerprints differ by ten bits on average, far beyond any covering
+    radius that stays selective, so MinHash bands propose what is still apart. Which row of a group stays, and null, empty
+    and repeated rows: see ``near_copies.keep_one``.
     """
-    found = near_duplicates(docs)
-    drop = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "drop")
-    return docs.join(drop, docs.doc_id == drop["_drop"], "left_anti")
+
+    def propose(nodes: DataFrame) -> DataFrame:
+        distinct = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+        same = nodes.join(distinct, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        return same.unionByName(links(distinct))
+
+    return near_copies.keep_one(docs, shingle, similarity, propose)

@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline as P
 from corpusloom.llm import near_copies as N
+from corpusloom.llm import simhash as S
 
 
 def shingles(text, k=5):
@@ -72,3 +73,15 @@ def test_rows_are_told_apart(spark):
     got = sorted(map(tuple, N.keep_one(docs).collect()), key=str)
     assert got == sorted([(1, a), (2, b), (None, "only here"), (3, None)], key=str)
     assert N.keep_one(docs.limit(0)).count() == 0
+    got = sorted(map(tuple, S.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, "only here"), (3, None)], key=str)
+    assert S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_anchors_alone_do_not_reach_the_similarity(spark):
+    """Pairs of 0.8 and more differ by more than three bits: what the bands are for."""
+    rows = corpus()
+    fps = [N.set_fingerprint(N.shingle_set(N.words(t.encode()))) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
+    near = [(fps[i] ^ fps[j]).bit_count() for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert min(near) <= 3 < max(near)

@@ -86,5 +86,12 @@ def test_near_duplicates_edge_rows(spark):
     for i, fp, c in got:
         assert (int(fp, 16), c) == ((fps[i], want[i]) if i else (fps[3], want[3]))
     assert S.near_duplicates(df.limit(0)).count() == 0
-    kept = sorted(x for (x,) in S.keep_one(df).select("doc_id").collect() if x)
-    assert kept == sorted(i for i, _, _ in rows if i and want[i] == i)
+
+
+def test_null_ids_carry_links(spark):
+    """A row without an id links two others that are apart from each other."""
+    rows = [(5, 0b0), (None, 0b111), (2, 0b111111), (None, -1)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    distinct = df.select("fp", df.fp.alias("rep"))
+    got = {tuple(r) for r in S.links(distinct).collect()}
+    assert {frozenset(x) for x in got} == {frozenset((0, 7)), frozenset((7, 63))}
