@@ -16,10 +16,12 @@ BROADCAST_ROWS = 50_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a folder of our own is set.
+    Only where none is named and the master is local (tests on one machine) a folder of our own is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -55,8 +57,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     )
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
     for _ in range(max_rounds):
+        # settled: every node leads to one other node, which leads to none
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up > 0 and root > 0").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -69,10 +74,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         now = written(small, "edges")
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
-        before = sign
     else:
         raise RuntimeError("components did not settle")
     # every edge now leads straight from a node to the smallest node of its component
