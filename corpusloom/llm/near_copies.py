@@ -4,8 +4,8 @@ Texts with the same words are one node. A node is filed under BANDS keys, each m
 hashes; a pair of similarity s shares no key with probability (1 - s^ROWS)^BANDS, 3.2e-6 at 0.8 and less above.
 Pairs that share a key are linked if their similarity, from all shingles of both, reaches the threshold.
 
-Not all pairs under a key are compared: only what connects. A few rounds compare each node with one pivot of its key,
-then every pair that still lies in different components is compared. So a large group of near copies
+Not all pairs under a key are compared: only what connects. Each node is compared with a pivot of its key (and with what the
+caller proposes), once more with another pivot, then every pair that still lies in different components is compared. So a large group of near copies
 makes edges in proportion to its size, and no pair that could join two components is left out.
 """
 
@@ -26,7 +26,7 @@ from .common import connected_components, small_or_plain, written
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
 BANDS, ROWS = 24, 4
 #: Rounds with a pivot for each key, before all pairs that are still apart.
-PIVOTS = 3
+PIVOTS = 2
 #: Shingles of a text whose minima are taken at a time.
 SEGMENT = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,9 +109,6 @@ def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed:
         return written(pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"), f"links{k}")
 
     edges, comp = [], None
-    if proposed is not None:
-        edges = [linked(proposed, PIVOTS + 1)]
-        comp = written(connected_components(edges[0]), "components")
     for k in range(PIVOTS + 1):
         if comp is None:
             now = shared.withColumn("c", F.col("node"))
@@ -120,17 +117,22 @@ def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed:
         # a key whose nodes are in one component has nothing left to link
         apart = now.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(k))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         now = written(now.join(apart.select("key", "p"), "key"), f"apart{k}")
-        if now.isEmpty():
+        if now.isEmpty() and (k or proposed is None):
             break
         if k < PIVOTS:
             pairs = now.where("c <> p.c").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+            if not k and proposed is not None:
+                pairs = pairs.unionByName(proposed.select("a", "b"))
         else:
             # of two nodes in different components at least one is outside the key's most frequent component
             most = now.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
             x = now.join(most, "key").where("c <> most").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), "most")
             y = now.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
             pairs = x.join(y, "key").where("ca <> cb and (cb = most or a < b)").select("a", "b")
-        edges.append(linked(pairs, k))
+        found = linked(pairs, k)
+        if found.isEmpty():
+            continue
+        edges.append(found)
         comp = written(connected_components(reduce(DataFrame.unionByName, edges)), f"components{k}")
     return comp
 
