@@ -28,7 +28,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = re.compile(r"</(script|style|textarea|title)\b", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag is found once and never scanned again: quantifiers are possessive, and what is never closed takes the rest of the page.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -41,10 +42,16 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; text in scripts, styles and comments is none."""
+    """The leaf blocks of a page in order; text in scripts, styles and comments is none.
+
+    One pass over the page. A quote opens a value only after an equals sign; a tag, comment or declaration that is
+    never closed takes the rest of the page, as parsers of HTML have it.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    # a tag, and all tags and names from the outermost one to it
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []
+    empty: frozenset[str] = frozenset()
     parts: list[str] = []
     linked, link = 0, 0
 
@@ -52,8 +59,8 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-            out.append(Block(text, tuple(t for t, _ in stack), names, min(linked, len(text))))
+            own, inside, names = stack[-1] if stack else ("", empty, empty)
+            out.append(Block(text, (*sorted(inside - {own}), own) if own else (), names, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -75,7 +82,7 @@ def blocks(page: str | None) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3])
+                parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if not m[1] and name in ("script", "style"):
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -89,16 +96,17 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         if m[1]:
-            tags = [t for t, _ in stack]
-            if name in tags:
-                del stack[len(tags) - 1 - tags[::-1].index(name) :]
+            if stack and name in stack[-1][1]:
+                while stack.pop()[0] != name:
+                    pass
                 link = 0
             continue
         if stack and stack[-1][0] == "p" or stack and stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"):
             stack.pop()  # closed by the next block
         if name not in VOID and not m[3].endswith("/"):
-            names = frozenset(w for x in NAMES.finditer(m[3]) for w in WORD.findall((x[2] or x[3] or x[4] or "").lower()))
-            stack.append((name, names))
+            _, inside, names = stack[-1] if stack else ("", empty, empty)
+            mine = frozenset(w for x in NAMES.finditer(m[3]) for w in WORD.findall((x[2] or x[3] or x[4] or "").lower()))
+            stack.append((name, inside if name in inside else inside | {name}, names if mine <= names else names | mine))
     flush()
     return out
 
@@ -221,16 +229,19 @@ def layouts() -> list[tuple[list[list[str]], list[int]]]:
 
 
 def align(page: list[Block], known: str) -> list[int]:
-    """1 for blocks that are a line of the known text, or a heading that begins it."""
+    """1 for blocks that are a line of the known text, or a heading that begins it; what stands in the page's head is no content."""
     lines = {" ".join(x.split()) for x in known.split("\n")}
     whole = " ".join(known.split())
-    return [int(b.text in lines or (bool(b.tags) and b.tags[-1] in ("h1", "h2", "h3") and whole.startswith(b.text))) for b in page]
+    return [int(not {"head", "title"} & set(b.tags) and (b.text in lines or (bool(b.tags) and b.tags[-1] in ("h1", "h2", "h3") and whole.startswith(b.text)))) for b in page]
+
 
+def train(labelled: DataFrame | None, sample: int = SAMPLE, most_blocks: int = SAMPLE_BLOCKS) -> Crf:
+    """A model from at most ``sample`` rows of ``labelled(html, known)``, of each the first ``most_blocks`` blocks, and the hand-labelled layouts.
 
-def train(labelled: DataFrame | None, sample: int = SAMPLE) -> Crf:
-    """A model from at most ``sample`` rows of ``labelled(html, known)`` and the hand-labelled layouts."""
+    Both bounds concern the fit only; ``extract`` reads whole pages.
+    """
     rows = labelled.orderBy(F.xxhash64("html"), "html").limit(sample).collect() if labelled is not None else []
-    pages = [(p, align(p, r.known or "")) for r in rows for p in [blocks(r.html)[:SAMPLE_BLOCKS]]]
+    pages = [(p, align(p, r.known or "")) for r in rows for p in [blocks(r.html)[:most_blocks]]]
     return fit([(features(p), y) for p, y in pages if any(y)] + layouts() * max(1, len(rows) // 64))
 
 
@@ -253,9 +264,15 @@ def extract(pages: DataFrame, model: Crf) -> DataFrame:
 
 
 def labelled_pages(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(html, known): a bounded sample of pages whose path names a document, with that document's text."""
+    """(html, known): a bounded sample of pages whose path names a document, with that document's text.
+
+    The sample is chosen by URL alone; only its pages' html is read into it. Rows with one URL count as one there.
+    """
     from .urls import document_number
 
-    taken = pages.select("html", "url", document_number(F.col("url")).alias("_n")).where("_n is not null and html is not null")
-    taken = taken.orderBy(F.xxhash64("url"), "url").limit(sample)
-    return docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("known")).join(F.broadcast(taken), F.col("_id") == F.col("_n")).select("html", "known")
+    taken = pages.where("html is not null").select("url", document_number(F.col("url")).alias("_n")).where("_n is not null").distinct()
+    taken = F.broadcast(taken.orderBy(F.xxhash64("url"), "url").limit(sample))
+    html = pages.select("url", "html").join(taken, "url").where("html is not null").groupBy("url", "_n").agg(F.min("html").alias("html"))
+    # at most ``sample`` documents' texts meet the pages
+    known = docs.select(F.col("doc_id").alias("_n"), F.col("text").alias("known")).join(F.broadcast(taken.select("_n").distinct()), "_n")
+    return html.join(known, "_n").select("html", "known")
