@@ -2,7 +2,7 @@
 
 sim = 0.3 J(title) + 0.7 J(content) >= threshold forces J(content) >= (threshold - 0.3) / 0.7. So candidates come from an
 inverted index over each content's rarest shingles only (prefix filter), never from all pairs, and exact copies
-are one candidate. Shingles are compared by 64-bit hashes in the index and as strings in the verification.
+are one candidate. Shingles are 64-bit hashes in the index and in the verification.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from ..functions.text import count_sub, jaccard, shingles, text
 from ..plans.shared import connected_components, written
 
 TITLE_WEIGHT, CONTENT_WEIGHT = 0.3, 0.7
+#: The sets of all representatives are broadcast only if they were counted and have at most so many shingles (32 MB).
+BROADCAST_SHINGLES = 4_000_000
 
 
 def adaptive(mean_length: int) -> tuple[int, float]:
@@ -26,33 +28,56 @@ def settings(cards: DataFrame) -> tuple[int, float]:
     return adaptive(cards.agg(F.floor(F.avg(F.length(text("content")))).alias("m")).first().m or 0)
 
 
+def _keyed(cards: DataFrame) -> DataFrame:
+    """``cards`` with a 128-bit key of (title, content); equal texts meet by it, so the texts need not be compared or shuffled."""
+    title, content = text("title"), text("content")
+    return cards.withColumn("_k", F.struct(F.xxhash64(title, content).alias("x"), F.xxhash64(content, F.lit(1), title).alias("y")))
+
+
 def similarity_edges(cards: DataFrame, k: int, threshold: float) -> DataFrame:
     """(a, b, sim) with a < b for representatives of equal (title, content); ``cards(pos, title, content)``.
 
-    Copies of a representative are linked by membership (see ``members``), not by pairs.
+    Copies of a representative are linked by membership (see ``members``), not by pairs. A pair meets at its first common
+    shingle in the order of rarity. What both sets have left from there bounds their overlap, so most meetings end in the
+    join's condition.
+    ``pos`` must tell different texts apart (``dedup_cards`` numbers the rows itself).
     """
-    reps = written(cards.select("pos", text("title").alias("title"), text("content").alias("content")).groupBy("title", "content").agg(F.min("pos").alias("pos")), "reps")
-    sets = reps.select("pos", shingles(F.col("title"), k).alias("ts"), shingles(F.col("content"), k).alias("cs"))
+    reps = _keyed(cards).groupBy("_k").agg(F.min("pos").alias("pos"), F.first(text("title")).alias("title"), F.first(text("content")).alias("content"))
+    hashed = lambda c: F.transform(shingles(F.col(c), k), lambda x: F.xxhash64(x))
+    sets = written(reps.select("pos", hashed("title").alias("ts"), hashed("content").alias("cs")), "sets")
     need = (threshold - TITLE_WEIGHT) / CONTENT_WEIGHT
-    tokens = written(sets.select("pos", F.size("cs").alias("n"), F.explode("cs").alias("s")).select("pos", "n", F.xxhash64("s").alias("s")), "tokens")
+    share = need / (1 + need)
+    # different title sets cannot be as similar as equal ones: their sizes bound what the titles add
+    tokens = sets.select("pos", F.size("cs").alias("n"), F.size("ts").alias("p"), F.xxhash64(F.array_sort("ts")).alias("h"), F.explode("cs").alias("s"))
     often = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle of one document only cannot be shared; it still takes its place among the rarest
     rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    prefix = tokens.join(often, "s", "left").select("pos", "n", "s", "df", rank.alias("r")).where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * need) + 1)).select("pos", "n", "s")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    pairs = x.join(y, F.expr(f"x.s = y.s and x.pos < y.pos and x.n >= y.n * {need} and y.n >= x.n * {need}")).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).distinct()
-    left, right = sets.select(F.col("pos").alias("a"), F.col("ts").alias("ta"), F.col("cs").alias("ca")), sets.select(F.col("pos").alias("b"), F.col("ts").alias("tb"), F.col("cs").alias("cb"))
+    kept = F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1)
+    prefix = written(tokens.join(often, "s", "left").select("pos", "n", "p", "h", "s", "df", rank.alias("r")).where(kept).select("pos", "n", "p", "h", "s", "r"), "prefix")
+    x, y = prefix.where(F.col("r") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1).alias("x"), prefix.alias("y")
+    order = "(x.n < y.n or x.n = y.n and x.pos < y.pos)"
+    title = "case when x.h = y.h then 1 when x.p = y.p then (x.p - 1) / (x.p + 1) else least(x.p, y.p) / greatest(x.p, y.p) end"
+    least = f"(({threshold} - {TITLE_WEIGHT} * {title}) / {CONTENT_WEIGHT})"
+    # x.n <= y.n, and n shared shingles of the two need n * (1 + least) >= least * (x.n + y.n)
+    fits = f"x.n >= y.n * {least} - 1e-9 and (least(x.n - x.r, y.n - y.r) + 1) * (1 + {least}) >= {least} * (x.n + y.n) - 1e-9"
+    pairs = x.join(y, F.expr(f"x.s = y.s and {order} and {fits}")).select(F.least("x.pos", "y.pos").alias("a"), F.greatest("x.pos", "y.pos").alias("b")).distinct()
+    small = (sets.agg(F.sum(F.size("ts") + F.size("cs")).alias("n")).first().n or 0) <= BROADCAST_SHINGLES
+    one, two = (F.broadcast(t) if small else t for t in (sets.select(F.col("pos").alias("a"), F.col("ts").alias("ta"), F.col("cs").alias("ca")), sets.select(F.col("pos").alias("b"), F.col("ts").alias("tb"), F.col("cs").alias("cb"))))
     sim = TITLE_WEIGHT * jaccard(F.col("ta"), F.col("tb")) + CONTENT_WEIGHT * jaccard(F.col("ca"), F.col("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", sim.alias("sim")).where(F.col("sim") >= threshold)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", sim.alias("sim")).where(F.col("sim") >= threshold)
+
+
+def _labels(cards: DataFrame, edges: DataFrame, pos: str = "pos") -> DataFrame:
+    """(_k, component) for each different (title, content) of keyed ``cards``; ``pos`` tells different texts apart."""
+    reps = cards.groupBy("_k").agg(F.min(pos).alias("rep"))
+    comp = connected_components(edges.select("a", "b"))
+    return reps.join(comp, reps.rep == comp.node, "left").select("_k", F.coalesce("component", "rep").alias("component"))
 
 
 def members(cards: DataFrame, edges: DataFrame) -> DataFrame:
     """(pos, component) for every card; a component is named by its smallest pos."""
-    own = cards.select("pos", text("title").alias("title"), text("content").alias("content"))
-    reps = own.groupBy("title", "content").agg(F.min("pos").alias("rep"))
-    comp = connected_components(edges.select("a", "b"))
-    label = reps.join(comp, reps.rep == comp.node, "left").select("title", "content", F.coalesce("component", "rep").alias("component"))
-    return own.join(label, ["title", "content"]).select("pos", "component")
+    own = _keyed(cards).select("pos", "_k")
+    return own.join(_labels(own, edges), "_k").select("pos", "component")
 
 
 def density(c: Column) -> Column:
@@ -85,15 +110,16 @@ def unique_sentences(content: str, canonical: str, k: int) -> list[str]:
     return out[:3]
 
 
-def merge(cards: DataFrame, membership: DataFrame, k: int) -> DataFrame:
+def merge(cards: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """One card per component: the best one (the last of equals), with supplements and all references.
 
-    ``cards(pos, title, content, reference, card_type, ...)``. The best card is found by an aggregation; each other card
-    meets only the best one, so no task holds a component.
+    ``cards(pos, title, content, reference, card_type, _k, _row, ...)`` are keyed and each row counts by itself, also where a pos is
+    repeated; ``labels(_k, component)``. The best card is found by an aggregation; each other card meets only the best one.
     """
-    d = cards.join(membership, "pos").select("component", "pos", *[text(c).alias(c) for c in ("title", "content", "reference", "card_type")], quality(cards).alias("q"))
-    best = d.groupBy("component").agg(F.max_by(F.struct("pos", "title", "content", "reference", "card_type"), F.struct("q", "pos")).alias("b"), F.count("*").alias("n"))
-    others = d.join(best.select("component", "b").alias("best"), "component").where("pos <> b.pos").select("component", "pos", "title", "content", "reference", F.col("b.content").alias("canonical"))
+    d = cards.join(labels, "_k").select("component", "pos", "_row", *[text(c).alias(c) for c in ("title", "content", "reference", "card_type")], quality(cards).alias("q"))
+    best = d.groupBy("component").agg(F.max_by(F.struct("pos", "title", "content", "reference", "card_type", "_row"), F.struct("q", "pos", "_row")).alias("b"), F.count("*").alias("n"))
+    # a card without others meets nothing
+    others = d.join(best.where("n > 1").select("component", "b"), "component").where("_row <> b._row").select("component", "pos", "title", "content", "reference", F.col("b.content").alias("canonical"))
 
     def run(batches):
         for b in batches:
@@ -118,5 +144,7 @@ def merge(cards: DataFrame, membership: DataFrame, k: int) -> DataFrame:
 
 def dedup_cards(cards: DataFrame) -> DataFrame:
     """Cards after merging near-duplicates, with settings that follow the mean content length."""
+    cards = written(_keyed(cards).withColumn("_row", F.monotonically_increasing_id()), "cards")
     k, threshold = settings(cards)
-    return merge(cards, members(cards, similarity_edges(cards, k, threshold)), k)
+    edges = similarity_edges(cards.select(F.col("_row").alias("pos"), "title", "content"), k, threshold)
+    return merge(cards, written(_labels(cards, edges, "_row"), "labels"), k)

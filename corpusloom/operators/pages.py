@@ -1,50 +1,63 @@
-"""Header and footer removal on page-marked text, by windows over (document, page, line)."""
+"""Header and footer removal on page-marked text: one projection over a text's pages, no shuffle and no key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, n_bytes, text, utrim
+from ..functions.text import let, lines, n_bytes, pin, text, utrim
 
 MARKER = r"^## 第 (\d+)"
 HEAD, FOOT, SHARE, SHORTEST, LONGEST, FEWEST_PAGES = 3, 3, 0.7, 3, 200, 3
 PAGE_NUMBER = r"^([-—–]\s*\d+\s*[-—–]|[0-9]{1,4})\z"
 
 
-def page_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, page_no, page, line_no, line, up, down): lines of each page; up and down count from its ends. Text before the first marker is no page."""
-    each = docs.select(F.col(key), F.posexplode(lines(text(column))).alias("n", "line"))
-    w = Window.partitionBy(key).orderBy("n")
-    each = each.withColumn("mark", F.col("line").rlike(MARKER)).withColumn("page_no", F.sum(F.col("mark").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    each = each.withColumn("page", F.max(F.when(F.col("mark"), F.regexp_extract("line", MARKER, 1))).over(Window.partitionBy(key, "page_no")))
-    body = each.where("not mark and page_no > 0")
-    p = Window.partitionBy(key, "page_no")
-    return body.select(key, "page_no", "page", "line", F.row_number().over(p.orderBy("n")).alias("up"), F.row_number().over(p.orderBy(F.desc("n"))).alias("down"))
+def page_array(c: Column) -> Column:
+    """array<struct<page, line array, m array>>: a text's pages with lines, and their trimmed lines. Text before the first marker is no page."""
+    marked = F.concat(F.lit("\n"), F.regexp_replace(c, "\r\n", "\n"))
+    parts = let(F.split(marked, r"(?<=\n)(?=## 第 \d)", -1), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    body = lambda x: let(lines(x), lambda ls: F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))))
+    each = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, MARKER, 1).alias("page"), body(x).alias("line")))
+    return F.transform(F.filter(each, lambda x: F.size(x["line"]) > 0), lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), F.transform(x["line"], utrim).alias("m")))
+
+
+def _often(near: Column, least: Column) -> Column:
+    """The strings that stand at least ``least`` times in an array.
+
+    In sorted order such a run covers a place that is a multiple of ``least``, so only those few are counted.
+    """
+
+    def found(s: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / least).cast("int")), lambda i: F.get(s, (i * least).cast("int")))
+        return F.filter(F.array_distinct(some), lambda m: F.size(F.filter(s, lambda x: x == m)) >= least)
+
+    return let(F.array_sort(near), lambda s: F.when(F.size(s) > 0, found(s)).otherwise(F.array().cast("array<string>")))
 
 
 def strip_headers_footers(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, text, pages, removed). Documents under three pages stay as they are."""
-    body = page_lines(docs, key, column).withColumn("m", utrim(F.col("line")))
-    n_pages = body.groupBy(key).agg(F.countDistinct("page_no").alias("pages"))
-
-    def often(end: str, most: int, name: str) -> DataFrame:
-        near = body.where((F.col(end) <= most) & F.length("m").between(SHORTEST, LONGEST)).groupBy(key, "m").agg(F.count("*").alias("c")).join(n_pages, key)
-        return near.where(F.col("c") >= F.ceil(SHARE * F.col("pages"))).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias(name))
-
-    numbers = body.where((F.col("down") <= FOOT) & F.col("m").rlike(PAGE_NUMBER)).groupBy(key).agg(F.collect_set("m").alias("numbers"))
-    d = body.join(n_pages, key).where(F.col("pages") >= FEWEST_PAGES)
-    for found in (often("up", HEAD, "heads"), often("down", FOOT, "feet"), numbers):
-        d = d.join(found, key, "left")
-    none = F.array().cast("array<string>")
-    for c in ("heads", "feet", "numbers"):
-        d = d.withColumn(c, F.coalesce(c, none))
-    hit = lambda c: F.exists(c, lambda h: F.contains(F.col("m"), h) | F.contains(h, F.col("m")))
-    gone = (n_bytes(F.col("m")) > 0) & (((F.col("up") <= F.size("heads") + 2) & hit("heads")) | ((F.col("down") <= F.size("feet") + 2) & hit("feet")) | F.array_contains("numbers", F.col("m")))
-    d = d.withColumn("gone", gone)
-    pages = d.groupBy(key, "page_no", "page", "pages").agg(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("up", "line")))).alias("l"), F.count_if("gone").alias("removed"))
-    one = F.concat(F.lit("## 第 "), F.col("page"), F.lit(" 页\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    rebuilt = pages.select(key, "page_no", "pages", "removed", one.alias("t")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_no", "t"))).alias("p"), F.max("pages").alias("pages"), F.sum("removed").alias("removed"))
-    rebuilt = rebuilt.select(F.col(key).alias("_k"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("t"), "pages", "removed")
-    out = docs.select(key, text(column).alias("text")).join(rebuilt, F.col(key) == F.col("_k"), "left")
-    return out.select(key, F.coalesce("t", "text").alias("text"), F.coalesce("pages", F.lit(1)).cast("long").alias("pages"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"))
+    """(key, text, pages, removed) for each row by itself; documents under three pages stay as they are.
+
+    A null text is an empty one. Repeated and null keys do no harm.
+    """
+    d = docs.select(F.col(key).alias("key"), text(column).alias("t")).withColumn("p", page_array(F.col("t")))
+    d = pin(d.withColumn("pages", F.when(F.size("p") >= FEWEST_PAGES, F.size("p"))))
+    fit = lambda m: F.length(m).between(SHORTEST, LONGEST)
+    last = lambda x: F.slice(x["m"], F.greatest(F.size(x["m"]) - FOOT + 1, F.lit(1)), FOOT)
+    q = F.ceil(SHARE * F.col("pages"))
+    d = d.withColumn("heads", _often(F.filter(F.flatten(F.transform("p", lambda x: F.slice(x["m"], 1, HEAD))), fit), q))
+    d = d.withColumn("feet", _often(F.filter(F.flatten(F.transform("p", last)), fit), q))
+    d = d.withColumn("numbers", F.array_distinct(F.filter(F.flatten(F.transform("p", last)), lambda m: m.rlike(PAGE_NUMBER))))
+
+    def gone(x: Column, i: Column) -> Column:
+        m, up, down = F.get(x["m"], i), i + 1, F.size(x["m"]) - i
+        hit = lambda c: F.exists(c, lambda h: F.contains(m, h) | F.contains(h, m))
+        return (n_bytes(m) > 0) & (((up <= F.size("heads") + 2) & hit("heads")) | ((down <= F.size("feet") + 2) & hit("feet")) | (m.rlike(PAGE_NUMBER) & F.array_contains("numbers", m)))
+
+    kept = F.transform("p", lambda x: F.struct(x["page"].alias("page"), F.filter(x["line"], lambda _, i: ~gone(x, i)).alias("line"), F.size(x["line"]).alias("n")))
+    d = pin(d.withColumn("kept", F.when(F.col("pages").isNotNull(), kept)))
+    one = lambda x: F.concat(F.lit("## 第 "), x["page"], F.lit(" 页\n\n"), F.array_join(x["line"], "\n"))
+    removed = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x["n"] - F.size(x["line"]))
+    return d.select(
+        F.col("key").alias(key), F.coalesce(F.array_join(F.transform("kept", one), "\n\n"), "t").alias("text"),
+        F.coalesce("pages", F.lit(1)).cast("long").alias("pages"), F.coalesce(removed, F.lit(0)).cast("long").alias("removed"),
+    )
