@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 
 def recent(compilations: DataFrame, books: DataFrame, n: int) -> DataFrame:
     """The last ``n`` compilations with their books. The top-n runs before the join, so only n rows are joined."""
@@ -71,9 +73,83 @@ def best_providers(health: DataFrame) -> DataFrame:
 def unique_ids(cards: DataFrame, base: str, order: str = "pos") -> DataFrame:
     """``cards`` with unique_id, one second apart from ``base`` (yyyyMMddHHmmss) in order. Ranks come from per-range counts, not from one sorted task."""
     n = max(cards.sparkSession.sparkContext.defaultParallelism, 2)
-    d = cards.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # written once: a task that runs again cannot rank its rows in another way
+    d = written(cards.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
     sizes = d.groupBy("_p").agg(F.count("*").alias("c"), F.min("_i").alias("_first"))
     before = sizes.select(F.col("_p"), "_first", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("_before"))  # one row per partition
     ts = F.to_timestamp(F.lit(base), "yyyyMMddHHmmss")
     at = F.timestamp_seconds(F.unix_timestamp(ts) + F.col("_before") + F.col("_i") - F.col("_first"))
     return d.join(F.broadcast(before), "_p").withColumn("unique_id", F.date_format(at, "yyyyMMddHHmmss")).drop("_p", "_i", "_first", "_before")
+
+
+#: The tables of the history as DDL; ``ensure_tables`` creates what is missing and ``migrated`` adds missing columns.
+SCHEMAS = {
+    "books": "id long, source_file string, title string, author string, publisher string, isbn string, page_count long, file_size long, content_hash string, compile_count long, last_success int, last_compiled_at string",
+    "compilations": "id long, book_id long, version int, total_cards long, accepted_cards long, rejected_cards long, degraded_cards long, retry_cards long, reviewed int, compiled_at string",
+    "summaries": "compilation_id long, title string, overview string, key_points string, structure string",
+    "chunks": "compilation_id long, chunk_index long, title_path string, content_preview string, char_count long, entity_count long, card_count long, relation_count long",
+    "cards": "compilation_id long, chunk_id string, unique_id string, title string, content string, card_type string, quality_score double, status string, reject_reason string, retry_count long, reference string, source_file string, location string, original_text string, source string, paraphrase string, evidence string, related_cards_json string, degraded_from string, created_at string",
+    "entities": "compilation_id long, name string, entity_type string, context string",
+    "relations": "compilation_id long, source string, target string, relation_type string",
+    "diagnostics": "compilation_id long, diag_type string, stage string, message string, retry_count long, final_status string, expected_count long, actual_count long, success boolean",
+}
+
+
+def migrated(rows: DataFrame, table: str) -> DataFrame:
+    """``rows`` in the present schema of a table: missing columns are null, others are left out, kinds are cast."""
+    from pyspark.sql.types import StructType
+
+    want = StructType.fromDDL(SCHEMAS[table])
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+
+
+def ensure_tables(spark, path: str) -> None:
+    """An empty Parquet table for each of ``SCHEMAS`` that has none under ``path``."""
+    from pyspark.sql.utils import AnalysisException
+
+    for name, ddl in SCHEMAS.items():
+        try:
+            spark.read.parquet(f"{path}/{name}")
+        except AnalysisException:
+            spark.createDataFrame([], ddl).write.parquet(f"{path}/{name}")
+
+
+def created_at(unique_id: Column) -> Column:
+    """yyyy-MM-dd HH:mm:ss from a 14-digit id, else empty."""
+    return F.when(unique_id.rlike(r"^[0-9]{14}\z"), F.regexp_replace(unique_id, r"^(.{4})(..)(..)(..)(..)(..)\z", "$1-$2-$3 $4:$5:$6")).otherwise("")
+
+
+def child_rows(name: str, rows: DataFrame, **named) -> DataFrame:
+    """Rows of a child table from the engine's columns (``named`` gives columns for other names): chunks get an empty preview, cards their time."""
+    d = rows.select("*", *[F.col(c).alias(n) for n, c in named.items()])
+    if name == "chunks":
+        d = d.withColumn("content_preview", F.lit(""))
+    if name == "cards":
+        d = d.withColumn("created_at", created_at(F.coalesce("unique_id", F.lit(""))))
+        if "related_cards" in d.columns:
+            d = d.withColumn("related_cards_json", F.coalesce(F.to_json("related_cards"), F.lit("[]")))
+    return migrated(d, name)
+
+
+def record_compilations(path: str, runs: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """Append new runs (id, book_id, compiled_at) with versions and card counts, and the rows of each child table; returns the runs.
+
+    Children are appended before the runs: a run that is interrupted leaves no run without its children, and its children's ids are taken again.
+    """
+    spark = runs.sparkSession
+    ensure_tables(spark, path)
+    counts = card_counts(children["cards"])
+    new = next_versions(runs, spark.read.parquet(f"{path}/compilations")).join(counts, F.col("id") == F.col("compilation_id"), "left").drop("compilation_id")
+    new = written(migrated(new.fillna(0, [c for c in counts.columns if c != "compilation_id"]).withColumn("reviewed", F.lit(0)), "compilations"), "runs")
+    for name, rows in children.items():
+        child_rows(name, rows).write.mode("append").parquet(f"{path}/{name}")
+    new.write.mode("append").parquet(f"{path}/compilations")
+    return new
+
+
+def update_status(books: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``books`` with last_success and last_compiled_at of ``outcomes(book_id, success, at)``, the latest of each book."""
+    last = outcomes.groupBy("book_id").agg(F.max_by(F.struct(F.col("success").cast("int").alias("s"), "at"), F.struct("at", "success")).alias("_o"))
+    d = books.join(last, F.col("id") == F.col("book_id"), "left")
+    new = {"last_success": F.coalesce("_o.s", "last_success"), "last_compiled_at": F.coalesce("_o.at", "last_compiled_at")}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in books.columns])

@@ -171,3 +171,52 @@ def page_of(source_text: Column, keyword: Column, window: int = 500) -> Column:
         return F.get(F.array_compact(at), F.lit(0))
 
     return F.when(keyword != "", let(parts, find))
+
+
+#: What a citation without a page can look like; the group is what the page search looks for.
+BOOK_IN_MARKS, AUTHOR_YEAR, TITLE_IN_PARENTHESES = r"《([^》]+)》", r"^([^_]+)_\d{4}_", r"^([^（(]+)[（(][^，,)）]+[，,]\s*\d{4}[)）]"
+
+
+def title_keywords(title: Column) -> Column:
+    """The first two parts of a title, between punctuation, of two characters or more."""
+    parts = F.transform(F.split(title, r"[\p{Punct}，？！]", -1), utrim)
+    return F.slice(F.filter(parts, lambda p: F.length(p) >= 2), 1, 2)
+
+
+def repair_ref_by_page(reference: Column, title: Column, source_text: Column, books: list[str]) -> Column:
+    """All rewrites: those without a page search first, then the pages at which the source names the book, the author or the title's concepts.
+
+    A reference that stays without ``_p`` and a digit takes the page of the first title keyword that stands within 1000 bytes of a
+    page marker. An empty reference stays; where nothing is found the reference stays as the first rewrites left it.
+    """
+    known = F.coalesce(F.get(F.filter(F.array(*[F.lit(b) for b in books]).cast("array<string>"), lambda b: source_text.contains(b)), F.lit(0)), F.lit("来源"))
+    page = lambda word, window=500: page_of(source_text, utrim(word), window)
+
+    def to(r: Column, name: Column, pattern: str, group_name: bool) -> Column:
+        word = F.regexp_extract(r, pattern, 1)
+        found = F.when(r.rlike(pattern) & ~r.contains("_p"), page(word))
+        return let(found, lambda p: F.when(p.isNotNull(), F.concat(utrim(word) if group_name else name, F.lit("_p"), p)).otherwise(r))
+
+    def concept(r: Column) -> Column:
+        asked = (F.locate("_p", r) == 0) | ~F.substring(r, F.locate("_p", r) + 2, F.lit(1)).rlike("^[0-9]")
+        hits = F.array_compact(F.transform(title_keywords(title), lambda w: page_of(source_text, w, 1000)))
+        return let(F.when(asked & (source_text != ""), F.get(hits, F.lit(0))), lambda p: F.when(p.isNotNull(), F.concat(known, F.lit("_p"), p)).otherwise(r))
+
+    def searched(r: Column) -> Column:
+        return let(to(r, known, BOOK_IN_MARKS, True), lambda a: let(to(a, known, AUTHOR_YEAR, False), lambda b: let(to(b, known, TITLE_IN_PARENTHESES, False), concept)))
+
+    return F.when(utrim(reference) == "", reference).otherwise(let(repair_ref(reference, source_text, books), searched))
+
+
+def evidence_issue(evidence: Column, source_text: Column, status: Column) -> Column:
+    """MissingEvidence, EvidenceNotFound or null; rejected cards are not asked."""
+    e = utrim(text(evidence))
+    return F.when(status == "Rejected", None).when(e == "", "MissingEvidence").when((source_text != "") & ~source_text.contains(e), "EvidenceNotFound")
+
+
+def filter_cards(cards: DataFrame, books: list[str], source_text: str | None = None, **limits) -> tuple[DataFrame, DataFrame]:
+    """(valid cards, stats by issue): references are repaired first (by pages where the column ``source_text`` is given), then linted."""
+    source = text(source_text) if source_text else F.lit("")
+    fixed = repair_ref_by_page(text("reference"), text("title"), source, books) if source_text else repair_ref(text("reference"), source, books)
+    linted = lint(cards.withColumn("reference", fixed), **limits)
+    return linted.where("is_valid"), lint_stats(linted)

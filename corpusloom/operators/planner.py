@@ -35,3 +35,22 @@ def estimated_pages(kilobytes: Column) -> Column:
 
 def timeout_seconds(pages: Column, scanned: Column) -> Column:
     return F.least(F.greatest(pages * F.when(scanned, 90).otherwise(2), F.lit(60)), F.lit(1800)).cast("long")
+
+
+def doc_limits(chars: Column) -> Column:
+    """Token limits of each step by the document's characters; those of entities, cards and compilation follow its size."""
+    scale = lambda by, low, high: F.least(F.greatest(F.floor(chars / by), F.lit(low)), F.lit(high)).cast("int")
+    fixed = lambda n, name: F.lit(n).alias(name)
+    return F.struct(
+        fixed(12000, "summary_input"), fixed(2000, "summary_output"), scale(20, 4000, 8000).alias("entity_output"), fixed(10000, "graph_output"),
+        scale(8, 3000, 8000).alias("card_output"), fixed(4000, "index_output"), scale(8, 3000, 8000).alias("compile_output"),
+    )
+
+
+#: The prompt of each card type.
+PROMPTS = {"Term": "term_card", "Knowledge": "knowledge_card", "CounterIntuit": "counter_intuit_card", "Quote": "quote_card", "Person": "person_card", "Action": "action_card", "Review": "review_card"}
+
+
+def prompt_name(card_type: Column) -> Column:
+    """The prompt's name of a card type; null for any other."""
+    return F.get(F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in PROMPTS.items()]), lambda x: x["t"] == card_type), F.lit(0))["p"]

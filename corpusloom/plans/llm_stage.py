@@ -82,3 +82,78 @@ def usage(c: Column) -> Column:
 
 def blank(c: str) -> Column:
     return utrim(text(c)) == ""
+
+
+#: The Chinese labels of the card types, for answers that hold cards of several types.
+LABELS = {"人物卡": "Person", "术语卡": "Term", "新知卡": "Knowledge", "金句卡": "Quote", "行动卡": "Action", "反常识卡": "CounterIntuit", "综述卡": "Review"}
+
+
+def card_type_of(label: Column) -> Column:
+    """The type of a label; null for any other."""
+    return F.get(F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LABELS.items()]), lambda x: x["a"] == label), F.lit(0))["b"]
+
+
+def parse_unified(raw: DataFrame) -> DataFrame:
+    """One row per card of an answer with several types; an unknown label is Knowledge."""
+    rest = [c for c in raw.columns if c != "raw"]
+    c = raw.select(*rest, F.explode(F.from_json(F.get_json_object(F.col("raw"), "$.cards"), CARDS)).alias("c"))
+    return c.select(*rest, *[F.coalesce(f"c.{n}", F.lit("")).alias(n) for n in ("title", "content", "reference", "original_text", "evidence")], F.coalesce(card_type_of(F.col("c.card_type")), F.lit("Knowledge")).alias("card_type"), F.lit("").alias("source"))
+
+
+class Patient:
+    """A client with up to ``attempts`` tries, growing waits, a least time between calls, and no empty answers.
+
+    ``calls_per_minute`` is this task's share: the global rate divided by the number of tasks that run at once.
+    """
+
+    def __init__(self, client: Client, attempts: int = 3, wait: float = 2.0, calls_per_minute: float | None = None):
+        self.client, self.attempts, self.wait = client, attempts, wait
+        self.pause, self.next = (60.0 / calls_per_minute if calls_per_minute else 0.0), 0.0
+
+    def call_json(self, prompt: str) -> str:
+        import time
+
+        last: Exception | None = None
+        for k in range(self.attempts):
+            if k:
+                time.sleep(self.wait * 2 ** (k - 1))
+            now = time.monotonic()
+            if now < self.next:
+                time.sleep(self.next - now)
+            self.next = max(now, self.next) + self.pause
+            try:
+                got = self.client.call_json(prompt)
+            except (ConnectionError, TimeoutError, ValueError) as e:
+                last = e
+                continue
+            if got.strip() not in ("", "{}", "[]"):
+                return got
+            last = ValueError("an empty answer")
+        raise RuntimeError(f"no answer after {self.attempts} attempts") from last
+
+
+#: Answers are kept for 30 days, and at most 200 sets of them.
+CACHE_DAYS, CACHE_SETS, CACHE_VERSION = 30, 200, 1
+
+
+def cache_key(document: Column, provider: str, model: str) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(provider), F.lit(model), document), 256)
+
+
+def cache_write(answers: DataFrame, path: str, provider: str, model: str) -> None:
+    """Append ``answers(doc_id, chunk_idx, document, raw)`` under their keys."""
+    d = answers.withColumn("key", cache_key(F.col("document"), provider, model)).withColumn("version", F.lit(CACHE_VERSION)).withColumn("at", F.current_timestamp())
+    d.drop("document").write.mode("append").parquet(path)
+
+
+def cache_read(cache: DataFrame, chunks: DataFrame, provider: str, model: str) -> DataFrame:
+    """(doc_id, chunk_idx, raw): the newest kept answer of each chunk of ``chunks(doc_id, chunk_idx, document)`` that has this version and key."""
+    asked = chunks.select("doc_id", "chunk_idx", cache_key(F.col("document"), provider, model).alias("key"))
+    kept = cache.where(F.col("version") == CACHE_VERSION).join(asked, ["doc_id", "chunk_idx", "key"])
+    return kept.groupBy("doc_id", "chunk_idx").agg(F.max_by("raw", "at").alias("raw"))
+
+
+def cache_evicted(cache: DataFrame, days: int = CACHE_DAYS, sets: int = CACHE_SETS) -> DataFrame:
+    """``cache`` without sets older than ``days`` and without the oldest beyond ``sets``; a set is a key, its age that of its newest row."""
+    age = cache.groupBy("key").agg(F.max("at").alias("_at")).where(F.col("_at") >= F.current_timestamp() - F.expr(f"interval {int(days)} days"))
+    return cache.join(F.broadcast(age.orderBy(F.desc("_at"), "key").limit(sets).select("key")), "key", "left_semi").select(*cache.columns)

@@ -54,10 +54,23 @@ def kind(path: Column) -> Column:
     return F.when(s.isin(*PDF), "pdf").when(s.isin(*OTHER), "other").otherwise("text")
 
 
+def check_path(path: str) -> str:
+    """``path`` if it is plain: neither a NUL nor a step up in it."""
+    if not path or "\0" in path or ".." in re.split(r"[/\\]", path):
+        raise ValueError(f"not an admissible path: {path!r}")
+    return path
+
+
 def files(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, modificationTime, length, content, kind) of a folder's files up to ``max_bytes``."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return df.where(F.col("length") <= max_bytes).withColumn("kind", kind(F.col("path")))
+    """(path, modificationTime, length, content, kind, rejected) of a folder's files.
+
+    A file of more than ``max_bytes`` has its row, with the reason in ``rejected`` and without content, which is never read.
+    """
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(check_path(path))
+    fits = df.where(F.col("length") <= max_bytes).withColumn("rejected", F.lit(None).cast("string"))
+    large = df.select("path", "modificationTime", "length").where(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    large = large.withColumn("rejected", F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(f" > {max_bytes} bytes")))
+    return fits.unionByName(large).withColumn("kind", kind(F.col("path"))).select("path", "modificationTime", "length", "content", "kind", "rejected")
 
 
 def decoded(df: DataFrame, column: str = "content") -> DataFrame:
@@ -71,7 +84,7 @@ def decoded(df: DataFrame, column: str = "content") -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    return decoded(files(spark, path, recursive).where("kind = 'text'"))
+    return decoded(files(spark, path, recursive).where("kind = 'text' and rejected is null"))
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -122,7 +135,7 @@ def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
             got = [pdf_facts(x or b"") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (zip(*got) if got else [[]] * 4))], names=["path", "pages", "fonts", "images", "objects"])
 
-    pdf = files(spark, path, recursive).where("kind = 'pdf'").select("path", "content")
+    pdf = files(spark, path, recursive).where("kind = 'pdf' and rejected is null").select("path", "content")
     return triage(pdf.mapInArrow(run, "path string, pages long, fonts long, images long, objects long"))
 
 
@@ -130,3 +143,34 @@ def scan_report(scanned: DataFrame) -> DataFrame:
     """Files and share by status."""
     counts = scanned.groupBy("status").agg(F.count("*").alias("n"))  # three rows at most
     return counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+
+
+def scan_quality(status: Column, pages: Column, fonts: Column, images: Column) -> Column:
+    """struct<overall, text_layer, structure, image_quality>: fixed bands by status; overall is the integer mean where the parts vary."""
+    full, ocr, drawn = status == "HasText", status == "NeedOcr", status == "HandDrawn"
+    layer = F.when(full, F.when(fonts >= 3, 95).when(fonts >= 2, 85).when(fonts >= 1, 75).otherwise(60)).when(ocr, 20).when(drawn, 15).otherwise(0)
+    shape = F.when(full, F.when((fonts >= 2) & (pages > 1), 90).when(fonts >= 1, 80).otherwise(65)).when(ocr, 30).when(drawn, 25).otherwise(0)
+    band = lambda none, few, many: F.when(images == 0, none).when(images <= 2, few).otherwise(many)
+    image = F.when(full, band(95, 85, 70)).when(ocr, band(60, 50, 35)).when(drawn, 50).otherwise(0)
+    overall = F.when(full | ocr, F.floor((layer + shape + image) / 3)).when(drawn, 30).otherwise(0)
+    return F.struct(overall.cast("int").alias("overall"), layer.alias("text_layer"), shape.alias("structure"), image.alias("image_quality"))
+
+
+def quality_label(score: Column) -> Column:
+    return F.when(score >= 80, "优").when(score >= 60, "良").when(score >= 40, "中").otherwise("差")
+
+
+def text_density(chars: Column, sampled_pages: Column) -> Column:
+    """Characters a sampled page."""
+    return chars / F.greatest(sampled_pages, F.lit(1))
+
+
+def likely_scanned(path: Column, length: Column) -> Column:
+    """A PDF of more than 2 MB is taken for a scan."""
+    return (suffix(path) == "pdf") & (length > 2 * 1024 * 1024)
+
+
+def looks_like_page_marker(c: Column) -> Column:
+    """Whether a title read from a file is a page marker: blank, a heading, a page or chapter number, digits only, or under three characters."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+\z", "")
+    return (t == "") | t.startswith("#") | t.rlike(r"第\s*[0-9一二三四五六七八九十百零]+\s*[页章]") | t.rlike(r"(?i)^(page|chapter)\s*\d+") | t.rlike(r"^[0-9]+\z") | (F.length(t) < 3)

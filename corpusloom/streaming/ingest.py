@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import quality
+from ..sources import readers
 
 
 def document_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of files as they arrive."""
-    return spark.readStream.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    """(path, content) of files as they arrive, as bytes."""
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
 
 
 def ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -19,6 +19,6 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> Streami
 
     def one(batch: DataFrame, epoch: int) -> None:
         # a batch that runs again after a failure replaces its own folder
-        quality.report(batch).select("path", "text", "overall", "grade", "acceptable").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        quality.report(readers.decoded(batch)).select("path", "text", "overall", "grade", "acceptable").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return document_stream(spark, path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

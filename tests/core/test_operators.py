@@ -163,6 +163,24 @@ def test_similarity_join_equals_all_pairs(spark):
         assert len(comp) == len(rows) and comp[60] == comp[0]
 
 
+def test_repeated_pos_and_hot_shingles(spark):
+    """Rows count by themselves: a repeated pos neither multiplies nor loses rows."""
+    body = "机制原理规律概念定义术语范式假设推论认知" * 6
+    c = spark.createDataFrame([(1, "标题", body, "", "Knowledge")] * 2 + [(1, "别的", "完全不同的一段内容" * 8, "", "Knowledge"), (2, "标题", body + "！", "", "Knowledge")], "pos long, title string, content string, reference string, card_type string")
+    assert sorted((r.pos, r.merged) for r in dedup.dedup_cards(c).collect()) == [(1, 1), (2, 3)]
+    rows = [(i, "t" * (3 + i % 4), "共有的开头文字" * 3 + "".join(chr(0x4E00 + (i * 37 + j * j) % 300) for j in range(i % 12))) for i in range(120)]
+    df = spark.createDataFrame(rows, "pos long, title string, content string")
+    sh = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} if len(t) >= 2 else {t}
+    jac = lambda a, b: len(a & b) / len(a | b)
+    reps = {}
+    for i, t, x in rows:
+        reps.setdefault((t, x), i)
+    want = {(i, j): 0.3 * jac(sh(t), sh(u)) + 0.7 * jac(sh(x), sh(y)) for (t, x), i in reps.items() for (u, y), j in reps.items() if i < j}
+    for threshold in (0.45, 0.65, 0.9):
+        got = {(r.a, r.b): r.sim for r in dedup.similarity_edges(df, 2, threshold).collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= threshold}) and got
+
+
 def test_merge(spark):
     long = "认知负荷理论说明了学习过程中的限制。" * 14
     c = _cards(spark, [("标题", long + "独特的一句话在这里出现。", "来源A_p1", "Term"), ("标题", long, "来源B_p2", "Term"), ("别的", "完全不同的内容。" * 30, "来源C_p3", "Term")])
@@ -224,6 +242,16 @@ def test_headers_and_footers(spark):
     assert got[2].text == "no marks" and got[3].text == "" and got[4].text == page.format(1)
 
 
+def test_pages_by_row(spark):
+    """Repeated and null keys: each row by itself."""
+    doc = "".join(f"## 第 {k} 页\n抬头 报告\n正文 {k} 一\n正文 {k} 二\n— {k} —\n" for k in range(1, 6))
+    rows = [(1, doc), (1, doc), (None, doc), (2, None), (3, "## 第 1 页\nx"), (4, "no pages\r\nat all")]
+    got = pages.strip_headers_footers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6
+    assert sorted((str(r.doc_id), r.pages, r.removed) for r in got) == [("1", 5, 10), ("1", 5, 10), ("2", 1, 0), ("3", 1, 0), ("4", 1, 0), ("None", 5, 10)]
+    assert {r.text for r in got if r.pages == 5} == {"\n\n".join(f"## 第 {k} 页\n\n正文 {k} 一\n正文 {k} 二" for k in range(1, 6))}
+
+
 def test_rendering(spark):
     c = spark.createDataFrame([("标题", "a\n# b---", "Term", "r_p1"), ("q", "x", "Quote", "")], "title string, content string, card_type string, reference string")
     md = [r[0] for r in c.select(render.card_markdown(c)).collect()]
