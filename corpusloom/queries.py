@@ -529,11 +529,11 @@ O["mark_reviewed"] = f"with {RUNS} select id, (case when id % 3 = 0 then 1 else
 def book_upsert(spark, d):
     c = read(spark, d, "customer")
     old = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("source_file"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("title"), F.lit("").alias("author"), F.lit("p").alias("publisher"), F.lit("").alias("isbn"), F.col("c_custkey").alias("page_count"), F.lit(1).alias("file_size"), F.lit("a").alias("content_hash"), F.lit(2).cast("long").alias("compile_count"))
-    new = c.where("c_custkey % 4 <> 0").select(F.col("c_name").alias("source_file"), F.lit("new").alias("title"), F.lit("who").alias("author"), F.lit("q").alias("publisher"), F.lit("").alias("isbn"), (F.col("c_custkey") + 1).alias("page_count"), F.lit(2).alias("file_size"), F.lit("b").alias("content_hash"))
+    new = c.where("c_custkey % 4 <> 0 or c_custkey % 3 = 0").select(F.col("c_name").alias("source_file"), F.lit("new").alias("title"), F.lit("who").alias("author"), F.lit("q").alias("publisher"), F.lit("").alias("isbn"), (F.col("c_custkey") + 1).alias("page_count"), F.lit(2).alias("file_size"), F.lit("b").alias("content_hash"))
     return history.upsert_books(old, new)
 
 
-O["book_upsert"] = """with o as (select c_name as source_file, case when c_custkey % 2 = 0 then '' else c_mktsegment end as title, c_custkey as k from customer where c_custkey % 3 <> 0), n as (select c_name as source_file, c_custkey + 1 as k from customer where c_custkey % 4 <> 0)
+O["book_upsert"] = """with o as (select c_name as source_file, case when c_custkey % 2 = 0 then '' else c_mktsegment end as title, c_custkey as k from customer where c_custkey % 3 <> 0), n as (select c_name as source_file, c_custkey + 1 as k from customer where c_custkey % 4 <> 0 or c_custkey % 3 = 0)
 select coalesce(o.source_file, n.source_file) as source_file, case when coalesce(o.title, '') <> '' then o.title when n.k is not null then 'new' else '' end as title, case when n.k is not null then 'who' else '' end as author,
  case when o.k is not null then 'p' else 'q' end as publisher, '' as isbn, coalesce(n.k, o.k) as page_count, (case when n.k is not null then 2 else 1 end)::int as file_size, case when n.k is not null then 'b' else 'a' end as content_hash,
  (case when o.k is not null then 2 else 0 end + case when n.k is not null then 1 else 0 end)::bigint as compile_count from o full join n on o.source_file = n.source_file"""
