@@ -5,12 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A table is broadcast only if it was counted and has at most this many (short) rows.
 BROADCAST_ROWS = 50_000
+#: Edges that one task of ``connected_components`` contracts, and rows of a batch it gives back.
+TASK_EDGES, BATCH = 1 << 16, 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,23 +48,55 @@ def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For edges, each node that is not the smallest of its component, and that smallest one."""
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    node = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[node], ids[root[node]]
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The same components in as few edges as each task of up to TASK_EDGES finds; true if one task has seen all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if part:
+            node, low = _stars(*(np.concatenate(x) for x in zip(*part)))
+            for at in range(0, len(node), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH], t.type) for x, t in zip((node, low), schema)], schema=schema)
+
+    schema = to_arrow_schema(edges.schema)
+    tasks = -(-edges.count() // TASK_EDGES)
+    if not tasks:
+        return edges, True
+    few = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
+    return written(few.mapInArrow(run, edges.schema), "edges"), tasks == 1
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for each node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds on DataFrames, each round written to the shared
-    folder. A hub's minimum is pre-aggregated on the map side; the join back is an ordinary
-    equi-join, which adaptive execution splits when one hub is hot. Nulls and loops are dropped.
+    Tasks contract TASK_EDGES edges at a time to stars. While that takes more than one task, alternating large-star and
+    small-star rounds on DataFrames join the stars; each step is written to the shared folder. A hub's minimum is
+    pre-aggregated on the map side; the join back is an ordinary equi-join, which adaptive execution splits when one hub
+    is hot. Nulls and loops are dropped.
     """
-    now = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "edges",
-    )
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     for _ in range(max_rounds):
+        now, whole = _contracted(now)
+        if whole:
+            break
         # settled: every node leads to one other node, which leads to none
+        now = written(now.distinct(), "edges")
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up > 0 and root > 0").isEmpty():
             break

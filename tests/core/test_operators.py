@@ -314,3 +314,16 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("more text")
     ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_components_in_one_task_and_in_many(spark, monkeypatch):
+    from corpusloom.plans import shared
+
+    path = [(i, i + 1) for i in range(0, 60)]
+    edges = path[::2] + path[1::2] + [(100, 70), (70, 90), (5, 5)]
+    want = {n: 0 for n in range(61)} | {70: 70, 90: 70, 100: 70}
+    for most in (1 << 16, 40):
+        monkeypatch.setattr(shared, "TASK_EDGES", most)
+        rows = shared.connected_components(spark.createDataFrame([*edges, (None, 3), (3, None)], "a long, b long")).collect()
+        assert len(rows) == len(want) and dict(map(tuple, rows)) == want
+    assert shared.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
