@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
@@ -80,15 +80,16 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             each = [words(x) for x in b.column(3).cast(pa.binary()).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in each], dtype=np.uint64).view(np.int64)
-            keys, fps = [], []
+            keys, fps, sizes = [], [], []
             for w in each:
                 found = shingle_set(w, shingle)
                 keys.append(band_keys(found).view(np.int64))
                 fps.append(set_fingerprint(found))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "_d", "_h", "node", "fp", "keys"])
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "_d", "_h", "node", "fp", "n", "keys"])
 
     text = F.col("text").cast("string")
-    return rows.select("_row", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, "_row long, _d long, _h long, node long, fp long, keys array<long>")
+    return rows.select("_row", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_t")).mapInArrow(run, "_row long, _d long, _h long, node long, fp long, n long, keys array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -101,7 +102,14 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed: DataFrame | None = None) -> DataFrame | None:
-    """(node, component) of the nodes that are linked under the keys of ``shared(key, node)`` or as ``proposed(a, b)``."""
+    """(node, component) of the nodes that are linked under the keys of ``shared(key, node, n)`` or as ``proposed(a, b)``.
+
+    ``n`` is the size of a node's set: sets whose sizes differ too much cannot be similar and are not compared.
+    """
+
+    def alike(x: str, y: str) -> Column:
+        return F.least(x, y) >= similarity * F.greatest(x, y)
+
 
     def linked(pairs: DataFrame, k: int) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -113,22 +121,22 @@ def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed:
         if comp is None:
             now = shared.withColumn("c", F.col("node"))
         else:
-            now = shared.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+            now = shared.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
         # a key whose nodes are in one component has nothing left to link
-        apart = now.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(k))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        apart = now.groupBy("key").agg(F.min_by(F.struct("node", "c", "n"), F.xxhash64("node", F.lit(k))).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         now = written(now.join(apart.select("key", "p"), "key"), f"apart{k}")
         if now.isEmpty() and (k or proposed is None):
             break
         if k < PIVOTS:
-            pairs = now.where("c <> p.c").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+            pairs = now.where(F.expr("c <> p.c") & alike("n", "p.n")).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
             if not k and proposed is not None:
                 pairs = pairs.unionByName(proposed.select("a", "b"))
         else:
             # of two nodes in different components at least one is outside the key's most frequent component
             most = now.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-            x = now.join(most, "key").where("c <> most").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), "most")
-            y = now.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-            pairs = x.join(y, "key").where("ca <> cb and (cb = most or a < b)").select("a", "b")
+            x = now.join(most, "key").where("c <> most").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), "most")
+            y = now.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+            pairs = x.join(y, "key").where(F.expr("ca <> cb and (cb = most or a < b)") & alike("na", "nb")).select("a", "b")
         found = linked(pairs, k)
         if found.isEmpty():
             continue
@@ -148,9 +156,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     each = written(_sketches(rows, shingle), "sketches")
-    nodes = each.groupBy("node").agg(F.min(F.struct("_row", "fp", "keys")).alias("rep")).select("node", "rep.*")
-    filed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "node"), "shared")
+    nodes = each.groupBy("node").agg(F.min(F.struct("_row", "fp", "n", "keys")).alias("rep")).select("node", "rep.*")
+    filed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = written(filed.join(filed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key").select("key", "node", "n"), "shared")
     asked, proposed = shared.select("node"), None
     if propose is not None:
         proposed = written(propose(nodes.select("node", "fp")), "proposed")
