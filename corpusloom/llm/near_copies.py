@@ -5,8 +5,9 @@ hashes; a pair of similarity s shares no key with probability (1 - s^ROWS)^BANDS
 Pairs that share a key are linked if their similarity, from all shingles of both, reaches the threshold.
 
 Not all pairs under a key are compared: only what connects. Each node is compared with a pivot of its key (and with what the
-caller proposes), once more with another pivot, then every pair that still lies in different components is compared. So a large group of near copies
-makes edges in proportion to its size, and no pair that could join two components is left out.
+caller proposes) and once more with another pivot. The nodes whose keys still hold several components then go through an exact
+set join with prefix and position filters on the shingles that components share. So a large group of near copies makes edges in
+proportion to its size, many texts around one hub make no pairs, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from .common import connected_components, small_or_plain, written
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
 BANDS, ROWS = 24, 4
-#: Rounds with a pivot for each key, before all pairs that are still apart.
+#: Rounds with a pivot for each key, before the set join of what is still apart.
 PIVOTS = 2
 #: Shingles of a text whose minima are taken at a time.
 SEGMENT = 4096
+#: A set's bitmap has two to this power of bits.
+BITMAP_LOG = 9
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -75,6 +78,11 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return key
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A bitmap, each bit the parity of the shingles hashed to it: two sets differ in at least as many shingles as bits."""
+    return np.packbits((np.bincount((found >> np.uint64(64 - BITMAP_LOG)).astype(np.int64), minlength=1 << BITMAP_LOG) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,10 +103,36 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(words(x), shingle).view(np.int64) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+            found = [shingle_set(words(x), shingle) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            lists = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), bitmap)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["node", "set", "bits"])
+
+    return texts.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>, bits array<long>")
 
-    return texts.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) in different components among ``nodes(node, n, c)``: a superset of the similar ones, by prefix filter.
+
+    The shingles of all sets have one order: those that only one component has (narrow), then the others (wide) from rare
+    to frequent. Two sets of that similarity share a shingle among the first n - ceil(similarity * n) + 1 of each, and at
+    the first one that they share enough must be left in both. Narrow ones join nothing, so only wide ones are posted.
+    Texts that have most shingles from one hub still meet under those; there the join's condition compares bitmaps, which
+    tell at least how many shingles two sets do not share, so what is not similar is hardly ever given out by the join.
+    """
+    shingles = nodes.join(sets, "node").select("node", "c", "n", F.explode("set").alias("token"))
+    wide = written(shingles.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token", "df"), "wide")
+    each = shingles.join(small_or_plain(wide), "token").groupBy("node", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("w"))
+    narrow = F.col("n") - F.size("w")
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    posted = each.withColumn("narrow", narrow).where(first > narrow).select("node", "c", "n", "narrow", F.posexplode(F.slice("w", F.lit(1), (first - narrow).cast("int"))).alias("at", "w"))
+    # what a set has left from this shingle on, itself included
+    posted = written(posted.select(F.col("w.token").alias("token"), "node", "c", "n", (F.col("n") - F.col("narrow") - F.col("at")).alias("left")), "posted")
+    posted = posted.join(sets.select("node", "bits"), "node")
+    x, y = posted.alias("x"), posted.alias("y")
+    enough = F.least("x.left", "y.left") >= (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
+    unlike = reduce(Column.__add__, [F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range((1 << BITMAP_LOG) // 64)])
+    enough &= unlike <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    return x.join(y, F.expr("x.token = y.token and x.node < y.node and x.c <> y.c") & enough).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed: DataFrame | None = None) -> DataFrame | None:
@@ -132,11 +166,7 @@ def _components(shared: DataFrame, sets: DataFrame, similarity: float, proposed:
             if not k and proposed is not None:
                 pairs = pairs.unionByName(proposed.select("a", "b"))
         else:
-            # of two nodes in different components at least one is outside the key's most frequent component
-            most = now.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-            x = now.join(most, "key").where("c <> most").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), "most")
-            y = now.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            pairs = x.join(y, "key").where(F.expr("ca <> cb and (cb = most or a < b)") & alike("na", "nb")).select("a", "b")
+            pairs = _prefix_pairs(now.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c")), sets, similarity)
         found = linked(pairs, k)
         if found.isEmpty():
             continue

@@ -85,3 +85,22 @@ def test_anchors_alone_do_not_reach_the_similarity(spark):
     sets = [shingles(t) for _, t in rows]
     near = [(fps[i] ^ fps[j]).bit_count() for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert min(near) <= 3 < max(near)
+
+
+def test_prefix_pairs_hold_every_similar_pair_and_few_others(spark):
+    """60 texts around one hub, similar to it but not to each other, random prose and sets of one to three shingles."""
+    rnd = random.Random(11)
+    hub = [rnd.getrandbits(64) - 2**63 for _ in range(200)]
+    fresh = lambda n: [rnd.getrandbits(64) - 2**63 for _ in range(n)]
+    sets = [hub] + [sorted(rnd.sample(hub, 160)) + fresh(rnd.choice([0, 35])) for _ in range(60)]
+    sets += [fresh(50) for _ in range(20)] + [rnd.sample(hub, n) for n in (1, 1, 2, 3)]
+    sets += [s[: round(len(s) * 0.9)] for s in sets[1:30]]
+    comp = [i % 7 if i < 20 else i for i in range(len(sets))]
+    alike = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[i] != comp[j]]
+    want = {(i, j) for i, j in every if alike(sets[i], sets[j])}
+    nodes = spark.createDataFrame([(i, len(s), comp[i]) for i, s in enumerate(sets)], "node long, n long, c long")
+    bits = [N.bitmap(np.array(s, np.int64).view(np.uint64)).tolist() for s in sets]
+    each = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(sets, bits))], "node long, set array<long>, bits array<long>")
+    got = {tuple(r) for r in N._prefix_pairs(nodes, each, 0.8).distinct().collect()}
+    assert want and want <= got <= set(every) and len(got) < 2 * len(want), (len(want), len(got), len(every))
