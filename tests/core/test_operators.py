@@ -58,6 +58,17 @@ def test_quality_of_edge_texts(spark):
     assert quality.report(df.limit(0)).count() == 0
 
 
+def test_issues_print_shares_as_sql_does(spark):
+    rnd = random.Random(2)
+    values = [31.25, 18.75, 6.25, 0.25, 0.35, 1.05, 7.25, 99.95, 0.0, 100.0, (1 - 64 / 69) * 100] + [rnd.randint(0, 1600) / 16 for _ in range(300)] + [(1 - rnd.randint(1, 80) / 80) * 100 for _ in range(300)] + [rnd.randint(0, 20000) / 200 for _ in range(300)]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", X.one_decimal(F.col("v")).alias("s")).collect():
+        assert r.s == "%.1f" % r.v
+    # exactly one of 20 characters: 1 - 19 / 20 is over 0.05; one of 16 is a true tie
+    df = spark.createDataFrame([(1, "x" * 19 + "é"), (2, "x" * 15 + "é"), (3, "x" * 20 + "é")], "doc_id long, text string")
+    got = {r.doc_id: r.issues for r in quality.report(df).collect()}
+    assert got == {1: ["乱码比例过高: 5.0%"], 2: ["乱码比例过高: 6.2%"], 3: []}
+
+
 @pytest.mark.parametrize("given,want", [("", "Unknown"), ("文本A", "Article"), ("内容O。" * 100, "Article"), ("# t\n摘要 x\n关键词 y\n参考文献 z", "Paper"), ("```x```\n步骤 1\n步骤 2", "Manual")])
 def test_doc_type(spark, given, want):
     assert classify.classify(spark.createDataFrame([(given,)], "text string")).first().doc_type == want
