@@ -1,8 +1,9 @@
 """Exact near-duplicate detection of cards by shingle Jaccard, components, and merge.
 
 sim = 0.3 J(title) + 0.7 J(content) >= threshold forces J(content) >= (threshold - 0.3) / 0.7. So candidates come from an
-inverted index over each content's rarest shingles only (prefix filter), never from all pairs, and exact copies
-are one candidate. Shingles are 64-bit hashes in the index and in the verification.
+inverted index over each content's rarest shingles only (prefix filter), and exact copies are one candidate. Shingles are 64-bit
+hashes in the index and in the verification. Where that index would meet more pairs than it is worth, and in tables of up to
+SURE_BLOCKS blocks, blocks of texts are counted against each other instead (see ``grid``). Both ways are exact.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import count_sub, jaccard, shingles, text
 from ..plans.shared import connected_components, written
+from . import grid
 
 TITLE_WEIGHT, CONTENT_WEIGHT = 0.3, 0.7
 #: The sets of all representatives are broadcast only if they were counted and have at most so many shingles (32 MB).
 BROADCAST_SHINGLES = 4_000_000
+#: Tables of at most so many blocks are compared block by block without a look at what an index would meet.
+SURE_BLOCKS = 16
 
 
 def adaptive(mean_length: int) -> tuple[int, float]:
@@ -34,15 +38,25 @@ def _keyed(cards: DataFrame) -> DataFrame:
     return cards.withColumn("_k", F.struct(F.xxhash64(title, content).alias("x"), F.xxhash64(content, F.lit(1), title).alias("y")))
 
 
-def similarity_edges(cards: DataFrame, k: int, threshold: float) -> DataFrame:
+def similarity_edges(cards: DataFrame, k: int, threshold: float, spanning: bool = False) -> DataFrame:
     """(a, b, sim) with a < b for representatives of equal (title, content); ``cards(pos, title, content)``.
 
-    Copies of a representative are linked by membership (see ``members``), not by pairs. A pair meets at its first common
-    shingle in the order of rarity. What both sets have left from there bounds their overlap, so most meetings end in the
-    join's condition.
+    Copies of a representative are linked by membership (see ``members``), not by pairs. With ``spanning`` there are only as many
+    pairs as connect what is similar, and sim may be null.
     ``pos`` must tell different texts apart (``dedup_cards`` numbers the rows itself).
     """
     reps = _keyed(cards).groupBy("_k").agg(F.min("pos").alias("pos"), F.first(text("title")).alias("title"), F.first(text("content")).alias("content"))
+    reps = written(reps.where("pos is not null").drop("_k"), "reps")
+    blocks = grid.blocks(reps.agg(F.sum(F.length("content")).alias("n")).first().n or 0)
+    if blocks > SURE_BLOCKS:
+        sets, prefix, first = _indexed(reps, k, threshold)
+        if _meetings(prefix, first) <= blocks * sets.agg(F.sum(F.size("cs")).alias("n")).first().n:
+            return _indexed_pairs(sets, prefix, first, threshold)
+    return grid.similar(reps, blocks, k, threshold, (TITLE_WEIGHT, CONTENT_WEIGHT), spanning)
+
+
+def _indexed(reps: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, Column]:
+    """The hashed sets, their rarest shingles with their places, and which of those a smaller set is found by."""
     hashed = lambda c: F.transform(shingles(F.col(c), k), lambda x: F.xxhash64(x))
     sets = written(reps.select("pos", hashed("title").alias("ts"), hashed("content").alias("cs")), "sets")
     need = (threshold - TITLE_WEIGHT) / CONTENT_WEIGHT
@@ -54,7 +68,18 @@ def similarity_edges(cards: DataFrame, k: int, threshold: float) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("pos").orderBy(F.coalesce("df", F.lit(1)), "s"))
     kept = F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1)
     prefix = written(tokens.join(often, "s", "left").select("pos", "n", "p", "h", "s", "df", rank.alias("r")).where(kept).select("pos", "n", "p", "h", "s", "r"), "prefix")
-    x, y = prefix.where(F.col("r") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1).alias("x"), prefix.alias("y")
+    return sets, prefix, F.col("r") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-9) + 1
+
+
+def _meetings(prefix: DataFrame, first: Column) -> int:
+    """How many pairs of rows the index looks at."""
+    return prefix.groupBy("s").agg(F.count("*").alias("y"), F.count(F.when(first, 1)).alias("x")).agg(F.sum(F.col("x") * F.col("y")).alias("n")).first().n or 0
+
+
+def _indexed_pairs(sets: DataFrame, prefix: DataFrame, first: Column, threshold: float) -> DataFrame:
+    """Pairs that meet at a common shingle in the order of rarity. What both sets have left from there bounds their overlap, so
+    most meetings end in the join's condition; whole sets decide."""
+    x, y = prefix.where(first).alias("x"), prefix.alias("y")
     order = "(x.n < y.n or x.n = y.n and x.pos < y.pos)"
     title = "case when x.h = y.h then 1 when x.p = y.p then (x.p - 1) / (x.p + 1) else least(x.p, y.p) / greatest(x.p, y.p) end"
     least = f"(({threshold} - {TITLE_WEIGHT} * {title}) / {CONTENT_WEIGHT})"

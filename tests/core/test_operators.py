@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chunk, classify, clean, dedup, entities, history, lint, pages, planner, quality, render, similarity, typo
+from corpusloom.operators import chunk, classify, clean, dedup, entities, grid, history, lint, pages, planner, quality, render, similarity, typo
 from corpusloom.plans import compile as plan
 from corpusloom.plans import llm_stage
 from corpusloom.sources import readers, sinks
@@ -192,6 +193,70 @@ def test_repeated_pos_and_hot_shingles(spark):
         assert got == pytest.approx({k: v for k, v in want.items() if v >= threshold}) and got
 
 
+def _alike_texts(n: int) -> list[tuple]:
+    rnd = random.Random(3)
+    out = [(7, "one", ""), (8, "", ""), (9, "two", "a"), (10, "two", "\0\0"), (11, "two", "知识𠀀"), (12, "three", "知识𠀀")]
+    while len(out) < n:
+        kind, base = rnd.choice(["one", "two", "three"]), "abcd" if len(out) % 3 else "知识管理学z𠀀"
+        body = "".join(rnd.choice(base) for _ in range(rnd.choice([2, 9, 30, 90])))
+        if (kind, body) not in {r[1:] for r in out}:
+            out.append((len(out) * 11 + 50, kind, body))
+    return out
+
+
+def _alike_pairs(rows, k, threshold):
+    sh = lambda t: {t[i : i + k] for i in range(len(t) - k + 1)} if len(t) >= k else {t}
+    jac = lambda a, b: len(a & b) / len(a | b)
+    each = [(p, sh(t), sh(x)) for p, t, x in rows]
+    sims = {(a, b): 0.3 * jac(t, u) + 0.7 * jac(x, y) for a, t, x in each for b, u, y in each if a < b}
+    return {p: s for p, s in sims.items() if s >= threshold}
+
+
+@pytest.mark.parametrize("k,meetings,tiles", [(1, 7, (5, 9)), (2, 1 << 20, (16, 4)), (3, 40, (200, 200)), (5, 40, (64, 32))])
+def test_tiles_count_what_sets_share(monkeypatch, k, meetings, tiles):
+    for name, value in zip(("MEETINGS", "TILE_X", "TILE_Y"), (meetings, *tiles)):
+        monkeypatch.setattr(grid, name, value)
+    texts = [x for _, _, x in _alike_texts(150)]
+    sh = lambda t: {t[i : i + k] for i in range(len(t) - k + 1)} if len(t) >= k else {t}
+    for table, rare in ((4, 4), (1 << 20, 1), (1 << 20, 10**6)):
+        monkeypatch.setattr(grid, "TABLE", table)
+        of, code, kinds = grid.shingled(texts, k)
+        often, mid = np.bincount(code, minlength=kinds) * rare > len(texts), 60
+        one, cut = grid.Sets(of, code, often, len(texts)), int(np.searchsorted(of, mid))
+        x, y = grid.Sets(of[:cut], code[:cut], often, mid), grid.Sets(of[cut:] - mid, code[cut:], often, len(texts) - mid)
+        for least in (0.0, 0.5):
+            for got, wanted in ((grid.alike(one, one, least), lambda i, j: i < j), (grid.alike(x, y, least), lambda i, j: i < mid <= j)):
+                off = 0 if wanted(0, 1) else mid
+                found = {}
+                for a, b, shared, either in got:
+                    for i, j, s, e in zip(a.tolist(), (b + off).tolist(), shared.tolist(), either.tolist()):
+                        assert (min(i, j), max(i, j)) not in found
+                        found[min(i, j), max(i, j)] = s, e
+                for i in range(len(texts)):
+                    for j in range(len(texts)):
+                        if wanted(i, j):
+                            p, q = sh(texts[i]), sh(texts[j])
+                            assert found.get((i, j), (len(p & q), len(p | q))) == (len(p & q), len(p | q))
+                            assert (i, j) in found or len(p & q) < least * len(p | q)
+
+
+@pytest.mark.parametrize("way", ["blocks", "index", "index too costly"])
+def test_blocks_and_index_find_all_similar_pairs(spark, monkeypatch, way):
+    """Texts over few letters share most shingles; only similar pairs leave a task, and both ways find the same."""
+    rows = _alike_texts(150)
+    df = spark.createDataFrame(rows, "pos long, title string, content string")
+    monkeypatch.setattr(grid, "LEAST_CHARS", 1000)
+    if way != "blocks":
+        monkeypatch.setattr(dedup, "SURE_BLOCKS", 0)
+        monkeypatch.setattr(dedup, "_meetings", lambda *_: 0 if way == "index" else 10**18)
+    assert grid.blocks(sum(len(r[2]) for r in rows)) > 3
+    for k, threshold in ((2, 0.45), (3, 0.65)):
+        want = _alike_pairs(rows, k, threshold)
+        got = dedup.similarity_edges(df, k, threshold).collect()
+        assert len(got) == len(want) > 20 and {(r.a, r.b): r.sim for r in got} == want
+    assert ("MapInArrow" in dedup.similarity_edges(df, 3, 0.65)._jdf.queryExecution().toString()) == (way != "index")
+
+
 def test_merge(spark):
     long = "认知负荷理论说明了学习过程中的限制。" * 14
     c = _cards(spark, [("标题", long + "独特的一句话在这里出现。", "来源A_p1", "Term"), ("标题", long, "来源B_p2", "Term"), ("别的", "完全不同的内容。" * 30, "来源C_p3", "Term")])
