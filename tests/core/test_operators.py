@@ -257,6 +257,17 @@ def test_blocks_and_index_find_all_similar_pairs(spark, monkeypatch, way):
     assert ("MapInArrow" in dedup.similarity_edges(df, 3, 0.65)._jdf.queryExecution().toString()) == (way != "index")
 
 
+def test_spanning_edges_connect_what_all_edges_connect(spark, monkeypatch):
+    rows = _alike_texts(150)
+    df = spark.createDataFrame(rows, "pos long, title string, content string")
+    monkeypatch.setattr(grid, "LEAST_CHARS", 1000)
+    full, few = (dedup.similarity_edges(df, 2, 0.6, spanning=x) for x in (False, True))
+    n = grid.blocks(sum(len(r[2]) for r in rows))
+    # a text is in one task of each block, and a task has fewer edges than texts
+    assert few.count() < n * len(rows) and few.count() < full.count()
+    assert sorted(dedup.members(df, few).collect()) == sorted(dedup.members(df, full).collect())
+
+
 def test_merge(spark):
     long = "认知负荷理论说明了学习过程中的限制。" * 14
     c = _cards(spark, [("标题", long + "独特的一句话在这里出现。", "来源A_p1", "Term"), ("标题", long, "来源B_p2", "Term"), ("别的", "完全不同的内容。" * 30, "来源C_p3", "Term")])
