@@ -171,5 +171,5 @@ def dedup_cards(cards: DataFrame) -> DataFrame:
     """Cards after merging near-duplicates, with settings that follow the mean content length."""
     cards = written(_keyed(cards).withColumn("_row", F.monotonically_increasing_id()), "cards")
     k, threshold = settings(cards)
-    edges = similarity_edges(cards.select(F.col("_row").alias("pos"), "title", "content"), k, threshold)
+    edges = similarity_edges(cards.select(F.col("_row").alias("pos"), "title", "content"), k, threshold, spanning=True)
     return merge(cards, written(_labels(cards, edges, "_row"), "labels"), k)

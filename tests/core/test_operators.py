@@ -268,6 +268,29 @@ def test_spanning_edges_connect_what_all_edges_connect(spark, monkeypatch):
     assert sorted(dedup.members(df, few).collect()) == sorted(dedup.members(df, full).collect())
 
 
+def test_merge_of_texts_over_few_letters_needs_few_edges(spark, monkeypatch):
+    rows = _alike_texts(150)
+    df = spark.createDataFrame([(p, t, x, "r_p1", "Term") for p, t, x in rows], "pos long, title string, content string, reference string, card_type string")
+    monkeypatch.setattr(grid, "LEAST_CHARS", 1000)
+    k, threshold = dedup.settings(df)
+    edges, real = [], dedup._labels
+    monkeypatch.setattr(dedup, "_labels", lambda c, e, *pos: real(c, edges.append(e.count()) or e, *pos))
+    got = dedup.dedup_cards(df).collect()
+    assert edges[0] < grid.blocks(sum(len(r[2]) for r in rows)) * len(rows) < len(_alike_pairs(rows, k, threshold))
+    full = dedup.similarity_edges(df, k, threshold)
+    root = {p: p for p, _, _ in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for e in full.collect():
+        root[find(e.a)] = find(e.b)
+    groups = {}
+    for p in root:
+        groups[find(p)] = groups.get(find(p), 0) + 1
+    assert sorted(r.merged for r in got) == sorted(groups.values())
+
+
 def test_merge(spark):
     long = "认知负荷理论说明了学习过程中的限制。" * 14
     c = _cards(spark, [("标题", long + "独特的一句话在这里出现。", "来源A_p1", "Term"), ("标题", long, "来源B_p2", "Term"), ("别的", "完全不同的内容。" * 30, "来源C_p3", "Term")])
