@@ -114,49 +114,93 @@ def trie(path: str) -> Trie:
     return Trie(vocabulary(path))
 
 
+def prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct prefixes of different words: their last characters, lengths, the prefix one shorter (-1: none); and each word's own."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    sizes = np.array([len(words[i]) for i in order.tolist()], np.int64)
+    chars = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.cumsum(sizes) - sizes
+    # in sorted order a word shares most with the one before
+    same, on, d = np.zeros(len(words), np.int64), np.arange(1, len(words)), 0
+    while len(on):
+        on = on[(sizes[on] > d) & (sizes[on - 1] > d)]
+        on = on[chars[start[on] + d] == chars[start[on - 1] + d]]
+        d += 1
+        same[on] = d
+    new = sizes - same
+    first = np.cumsum(new) - new
+    of = np.repeat(np.arange(len(words)), new)
+    depth = np.arange(new.sum()) - first[of] + same[of] + 1
+    up = np.arange(new.sum(), dtype=np.int32) - 1
+    up[first[same == 0]] = -1
+    last = first + new - 1
+    # a word's first own prefix goes on from one of the word before, which may be of a word before that
+    on, d = np.arange(len(words)), 0
+    while len(on):
+        owner = on[np.maximum.accumulate(np.where(same[on] <= d, np.arange(len(on)), 0))]
+        at = (first[owner] + d - same[owner]).astype(np.int32)  # the prefix of length d + 1
+        end = sizes[on] == d + 1
+        last[on[end]] = at[end]
+        after = on[1:][same[on[1:]] == d + 1]
+        up[first[after]] = at[1:][same[on[1:]] == d + 1]
+        on, d = on[~end], d + 1
+    ends = np.empty(len(words), np.int64)
+    ends[order] = last
+    return chars[start[of] + depth - 1].astype(np.int64), depth.astype(np.int32), up, ends
+
+
 class Lattice:
-    """Distinct words one after the other; the node of a place is the index of the character that ends there.
+    """Distinct prefixes of words; the node of a place is the number of the prefix that ends there.
 
-    Edges are sorted by node: ``ptr`` leads to a node's edges; an edge has its length, its id (or -1 - character for the
-    fallback to bytes), its probability given the node, and the cumulated one.
+    Edges are sorted by node: ``ptr`` leads to a node's edges; an edge has its length, the node before it (-1: the word's start),
+    its id (or -1 - character for the fallback to bytes), its probability given the node, and the cumulated one.
     """
 
     def __init__(self, words: list[str], t: Trie):
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.chars, depth, up, self.last = prefixes(words)
         total = len(self.chars)
-        self.last = np.cumsum(sizes) - 1
-        depth = (np.arange(total) - np.repeat(self.last + 1 - sizes, sizes) + 1).astype(np.int32)
         state, at = t.first[self.chars], np.arange(total, dtype=np.int32)
-        nodes, lengths, weights, ids = [], [], [], []
+        before = up
+        nodes, lengths, weights, ids, parents = [], [], [], [], []
         size, single = 1, np.zeros(total, bool)
         while len(at):
-            state, at = state[state > 0], at[state > 0]
-            hit = t.piece[state] >= 0
+            held = state > 0
+            state, at, before = state[held], at[held], before[held]
+            piece = t.piece[state]
+            hit = piece >= 0
             if size == 1:
                 single[at[hit]] = True
             nodes.append(at[hit])
-            lengths.append(np.full(len(nodes[-1]), size, np.int32))
+            lengths.append(size)
             weights.append(t.weight[state[hit]])
-            ids.append(t.piece[state[hit]])
-            more = depth[at] > size
-            state, at = state[more], at[more]
+            ids.append(piece[hit])
+            parents.append(before[hit])
+            more = before >= 0
+            state, at, before = state[more], at[more], before[more]
             if len(at):
-                state = t.step(state, self.chars[at - size])
+                state = t.step(state, self.chars[before])
+                before = up[before]
             size += 1
         at = np.flatnonzero(~single).astype(np.int32)  # no piece is this character alone: its bytes
         c = self.chars[at]
         nodes.append(at)
-        lengths.append(np.ones(len(at), np.int32))
+        lengths.append(1)
         weights.append(BYTE * utf8_size(c))
         ids.append((-1 - c).astype(np.int32))
-        node, length, weight, self.id = (np.concatenate(x) for x in (nodes, lengths, weights, ids))
-        order = np.argsort(node, kind="stable")
-        self.node, self.length, weight, self.id = node[order], length[order], weight[order], self.id[order]
-        self.ptr = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(self.node, minlength=total))])
+        parents.append(up[at])
+        count = np.zeros(total, np.int64)
+        for n in nodes:  # a node is in each of them at most once
+            count[n] += 1
+        self.ptr = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        free, edges = self.ptr[:-1].copy(), int(self.ptr[-1])
+        self.node, self.length, self.id, self.parent = (np.empty(edges, np.int32) for _ in range(4))
+        weight = np.empty(edges)
+        for n, size, w, i, p in zip(nodes, lengths, weights, ids, parents):
+            e = free[n]
+            free[n] += 1
+            self.node[e], self.length[e], weight[e], self.id[e], self.parent[e] = n, size, w, i, p
         self.depth = depth
         alpha = np.zeros(total + 1)  # the last one is the start of every word
-        parent = np.where(self.length == depth[self.node], total, self.node - self.length)
         edge_depth = depth[self.node]
         small = edge_depth.astype(np.int16) if depth.max(initial=0) < 1 << 15 else edge_depth  # these are sorted by radix
         by_depth = np.argsort(small, kind="stable")
@@ -167,7 +211,7 @@ class Lattice:
             e = by_depth[a:b]
             n = self.node[e]
             first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
-            s = alpha[parent[e]] + weight[e]
+            s = alpha[self.parent[e]] + weight[e]
             top = np.maximum.reduceat(s, first)
             width = np.diff(np.r_[first, len(e)])
             alpha[n[first]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, width)), first))
@@ -180,7 +224,8 @@ class Lattice:
         cum = np.minimum(cum - base[self.node], 1.0)
         cum[self.ptr[1:] - 1] = 1.0
         self.cum = cum
-        self.branches = np.diff(self.ptr)[self.node] > 1 if total else np.zeros(0, bool)
+        # what the other edges of the node have
+        self.rest = np.where(np.diff(self.ptr)[self.node] > 1, 1 - self.p, 0.0) if total else np.zeros(0)
 
     def descend(self, node: np.ndarray, occ: np.ndarray, key: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """Sample from each node to its word's start: (edges, their rows of ``occ``), by row and then step."""
@@ -195,8 +240,9 @@ class Lattice:
                 on = on[self.cum[e[on]] < u[on]]
             edges.append(e)
             rows.append(row)
-            more = self.depth[node] > self.length[e]
-            node, row = (node - self.length[e])[more], row[more]
+            node = self.parent[e]
+            more = node >= 0
+            node, row = node[more], row[more]
         if not edges:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         rows_ = np.concatenate(rows)
@@ -214,9 +260,9 @@ def _near(lat: Lattice, path: np.ndarray) -> np.ndarray:
     n = STEP
     while True:
         got = lat.log_p[path[:n]]
-        total = np.cumsum(got)
+        total = got.cumsum()
         if n >= len(path) or total[-1] < -FAR:
-            return got[: np.searchsorted(-total, FAR) + 1]
+            return got[: (-total).searchsorted(FAR) + 1]
         n *= 2
 
 
@@ -234,10 +280,10 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
     made, none = 1, np.zeros(0, np.int64)
     for turn in range(k):
         live, fixed, nodes, occs = [], [], [], []
-        for d, queue in enumerate(queues):
-            if not queue:
-                continue
-            value, _, base, at, gone = heapq.heappop(queue)
+        taken = [(d, *heapq.heappop(queue)) for d, queue in enumerate(queues) if queue]
+        again = [(d, int(out[d][base][1][at])) for d, _, _, base, at, _ in taken if base >= 0]
+        chance = iter(_uniform(seeds[[d for d, _ in again]], U(turn), np.array([w for _, w in again], np.int64), U(1 << 41)).tolist() if again else ())
+        for d, value, _, base, at, gone in taken:
             if base < 0:
                 head = (none, none)
                 node, occ = lat.last[words[d]], np.arange(len(words[d]))
@@ -245,7 +291,7 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
                 edges, places, _, _ = out[d][base]
                 n, w = lat.node[edges[at]], int(places[at])
                 free = [e for e in range(lat.ptr[n], lat.ptr[n + 1]) if e not in gone]
-                u = float(_uniform(seeds[d : d + 1], U(turn), U(w), U(1 << 41))[0]) * sum(lat.p[free])
+                u = next(chance) * sum(lat.p[free])
                 e = free[-1]
                 for x in free:
                     u -= lat.p[x]
@@ -254,8 +300,8 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
                         break
                 head = (np.append(edges[:at], e), places[: at + 1])
                 node, occ = lat.last[words[d][w + 1 :]], np.arange(w + 1, len(words[d]))
-                if lat.length[e] < lat.depth[n]:
-                    node, occ = np.concatenate([[n - lat.length[e]], node]), np.concatenate([[w], occ])
+                if lat.parent[e] >= 0:
+                    node, occ = np.concatenate([[lat.parent[e]], node]), np.concatenate([[w], occ])
             live.append(d)
             fixed.append((head, -value, at, gone if base >= 0 else None))
             nodes.append(node)
@@ -279,11 +325,11 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
             if not len(log_p):
                 continue
             mine = path[at : at + len(log_p)]
-            rest = np.where(lat.branches[mine], 1 - lat.p[mine], 0.0)
+            rest = lat.rest[mine]
             if gone is not None:  # at the node's own decision more is excluded
                 n = lat.node[mine[0]]
                 rest[0] = sum(lat.p[e] for e in range(lat.ptr[n], lat.ptr[n + 1]) if e not in gone and e != mine[0])
-            mass = np.exp(np.cumsum(log_p) - log_p) * np.maximum(rest, 0.0)  # of the parts, in units of what is fixed
+            mass = np.exp(log_p.cumsum() - log_p) * np.maximum(rest, 0.0)  # of the parts, in units of what is fixed
             unit = float(lat.log_p[path[:at]].sum())
             # the largest values of the parts, one after the other: a Gumbel variable of their joint mass, truncated
             for r in range(need):
@@ -292,8 +338,10 @@ def sample(lat: Lattice, words: list[np.ndarray], keys: np.ndarray, k: int):
                     break
                 m = unit + np.log(joint)
                 value = float(m - np.log(np.exp(min(max(m - value, -700.0), 700.0)) - np.log(u[2 * r])))
-                sums = np.cumsum(mass)
-                spot = min(int(np.searchsorted(sums, u[2 * r + 1] * sums[-1], "right")), int(np.flatnonzero(mass)[-1]))
+                sums = mass.cumsum()
+                spot = int(sums.searchsorted(u[2 * r + 1] * sums[-1], "right"))
+                if spot == len(mass):  # by rounding
+                    spot = int(np.flatnonzero(mass)[-1])
                 mass[spot] = 0.0
                 bar = (gone if spot == 0 and gone is not None else frozenset()) | {int(mine[spot])}
                 heapq.heappush(queues[d], (-value, made, len(out[d]) - 1, at + spot, bar))

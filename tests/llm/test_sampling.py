@@ -89,3 +89,18 @@ def test_rows(spark):
     again = S.sampled_ids(df.repartition(1), k=3).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert S.sampled_ids(df.limit(0)).count() == 0
+
+
+def test_lattice_has_each_prefix_once():
+    """Words that begin alike share their places, so a vocabulary of similar words is a fraction of its characters."""
+    rnd = np.random.default_rng(5)
+    words = list(dict.fromkeys("".join(rnd.choice(list("ab é\U0001f600"), rnd.integers(1, 12))) for _ in range(400)))
+    chars, depth, up, ends = S.prefixes(words)
+    spelled = {}
+    for i in range(len(chars)):
+        spelled[i] = (spelled[int(up[i])] if up[i] >= 0 else "") + chr(int(chars[i]))
+        assert len(spelled[i]) == depth[i] and up[i] < i
+    assert [spelled[int(e)] for e in ends] == words
+    assert sorted(spelled.values()) == sorted({w[:n] for w in words for n in range(1, len(w) + 1)})
+    lat = S.Lattice(words, S.trie(PATH))
+    assert len(lat.ptr) - 1 == len(chars) < sum(map(len, words)) and len(S.prefixes([])[0]) == 0
