@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +42,24 @@ U = np.uint64
 def _hash(x: np.ndarray) -> np.ndarray:
     """splitmix64 of unsigned 64-bit words."""
     with np.errstate(over="ignore"):
-        x = x + U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+        x = np.atleast_1d(x + U(0x9E3779B97F4A7C15))
+        y = x >> U(30)
+        for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+            x ^= y
+            x *= U(factor)
+            np.right_shift(x, U(shift), out=y)
+        x ^= y
+    return x
 
 
 def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     """Numbers in (0, 1) from 52 bits of a hash of the key and the parts."""
     for p in parts:
         key = _hash(key ^ np.asarray(p).astype(np.uint64))
-    return ((key >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
+    out = (key >> U(12)).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
 class Trie:
@@ -116,9 +124,10 @@ def trie(path: str) -> Trie:
 
 def prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct prefixes of different words: their last characters, lengths, the prefix one shorter (-1: none); and each word's own."""
-    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-    sizes = np.array([len(words[i]) for i in order.tolist()], np.int64)
-    chars = np.frombuffer("".join([words[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    order = sorted(range(len(words)), key=words.__getitem__)
+    ranked = list(map(words.__getitem__, order))
+    sizes = np.fromiter(map(len, ranked), np.int64, len(ranked))
+    chars = np.frombuffer("".join(ranked).encode("utf-32-le", "surrogatepass"), np.uint32)
     start = np.cumsum(sizes) - sizes
     # in sorted order a word shares most with the one before
     same, on, d = np.zeros(len(words), np.int64), np.arange(1, len(words)), 0
@@ -152,8 +161,8 @@ def prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Lattice:
     """Distinct prefixes of words; the node of a place is the number of the prefix that ends there.
 
-    Edges are sorted by node: ``ptr`` leads to a node's edges; an edge has its length, the node before it (-1: the word's start),
-    its id (or -1 - character for the fallback to bytes), its probability given the node, and the cumulated one.
+    Edges are sorted by node: ``ptr`` leads to a node's edges; an edge has the node before it (-1: the word's start), its id
+    (or -1 - character for the fallback to bytes), its probability given the node, and the cumulated one.
     """
 
     def __init__(self, words: list[str], t: Trie):
@@ -161,7 +170,7 @@ class Lattice:
         total = len(self.chars)
         state, at = t.first[self.chars], np.arange(total, dtype=np.int32)
         before = up
-        nodes, lengths, weights, ids, parents = [], [], [], [], []
+        nodes, weights, ids, parents = [], [], [], []
         size, single = 1, np.zeros(total, bool)
         while len(at):
             held = state > 0
@@ -171,7 +180,6 @@ class Lattice:
             if size == 1:
                 single[at[hit]] = True
             nodes.append(at[hit])
-            lengths.append(size)
             weights.append(t.weight[state[hit]])
             ids.append(piece[hit])
             parents.append(before[hit])
@@ -184,7 +192,6 @@ class Lattice:
         at = np.flatnonzero(~single).astype(np.int32)  # no piece is this character alone: its bytes
         c = self.chars[at]
         nodes.append(at)
-        lengths.append(1)
         weights.append(BYTE * utf8_size(c))
         ids.append((-1 - c).astype(np.int32))
         parents.append(up[at])
@@ -193,12 +200,12 @@ class Lattice:
             count[n] += 1
         self.ptr = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         free, edges = self.ptr[:-1].copy(), int(self.ptr[-1])
-        self.node, self.length, self.id, self.parent = (np.empty(edges, np.int32) for _ in range(4))
-        weight = np.empty(edges)
-        for n, size, w, i, p in zip(nodes, lengths, weights, ids, parents):
+        self.node, self.parent = np.empty(edges, np.int64), np.empty(edges, np.int64)
+        self.id, weight = np.empty(edges, np.int32), np.empty(edges)
+        for n, w, i, p in zip(nodes, weights, ids, parents):
             e = free[n]
             free[n] += 1
-            self.node[e], self.length[e], weight[e], self.id[e], self.parent[e] = n, size, w, i, p
+            self.node[e], weight[e], self.id[e], self.parent[e] = n, w, i, p
         self.depth = depth
         alpha = np.zeros(total + 1)  # the last one is the start of every word
         edge_depth = depth[self.node]
@@ -245,9 +252,15 @@ class Lattice:
             node, row = node[more], row[more]
         if not edges:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rows_ = np.concatenate(rows)
-        order = np.argsort(rows_, kind="stable")
-        return np.concatenate(edges)[order], rows_[order]
+        steps = np.zeros(len(rows[0]), np.int64)
+        for r in rows:
+            steps[r] += 1
+        at = np.cumsum(steps) - steps
+        out = np.empty(steps.sum(), np.int64)
+        for e, r in zip(edges, rows):
+            out[at[r]] = e
+            at[r] += 1
+        return out, np.repeat(rows[0], steps)
 
 
 def utf8_size(c: np.ndarray) -> np.ndarray:
@@ -358,13 +371,11 @@ def ids_of_all(lat: Lattice, paths: list[tuple[np.ndarray, np.ndarray]], byte_id
     bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
     if not bounds[-1]:
         return np.zeros(0, np.int32), bounds
-    edges, places = (np.concatenate([p[k] for p in paths]) for k in (0, 1))
-    new = np.ones(len(edges), bool)
-    new[1:] = places[1:] != places[:-1]
-    new[bounds[:-1][sizes > 0]] = True
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(edges)))
-    ids = lat.id[edges[np.repeat(2 * first + size - 1, size) - np.arange(len(edges))]]
+    edges = np.concatenate([e for e, _ in paths])
+    size = np.diff(np.flatnonzero(lat.parent[edges] < 0), prepend=-1)  # the last decision of a word is at its start
+    turned = np.repeat(2 * np.cumsum(size) - size - 1, size)
+    turned -= np.arange(len(edges))
+    ids = lat.id[edges][turned]
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
         return ids, bounds
@@ -395,7 +406,7 @@ def segment(texts: list[str], keys: np.ndarray, k: int, path: str):
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = np.array([len(x) if x is not None else 0 for x in b.column(1).to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < len(sizes):
         n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK)))
